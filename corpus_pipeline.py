@@ -1,10 +1,71 @@
-"""A corpus pipeline over ``documents``: quality, boilerplate lines, near duplicates, packing."""
+"""A corpus pipeline over ``documents``: quality, boilerplate lines, near duplicates, packing.
+
+Each stage takes what its predecessor kept; all but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import os
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from patternloom.llm import line_dedup, ngram_join, packing, quality
+from patternloom.llm.common import settled, table
+
+#: A document whose calibrated quality is below this is rejected.
+LEAST_QUALITY = 0.5
+#: Near duplicates share this part of their five-word shingles.
+WORDS, SIMILARITY = 5, 0.8
+
+
+def _share_code(spark: SparkSession) -> None:
+    env, here = spark.sparkContext.environment, os.path.dirname(os.path.abspath(__file__))
+    if here not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [here, env.get("PYTHONPATH", "")]))
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, fitted on the labels of this stage's own input, doesn't reject."""
+    _share_code(spark)
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.scored(docs, model).where(F.col("quality_score") >= LEAST_QUALITY).select(*docs.columns)
+
+
+def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that their source repeats; n_chars follows the text."""
+    _share_code(spark)
+    clean = line_dedup.line_dedup(docs, host="source")
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the least doc_id, of each group of near duplicates."""
+    _share_code(spark)
+    found = settled(ngram_join.ngram_jaccard_join(docs, n=WORDS, threshold=SIMILARITY))
+    gone = found.where("component_id <> doc_id").select("doc_id")
+    kept = docs.join(gone, "doc_id", "left_anti")
+    rows, ids = found.where("doc_id is not null").agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
+    return (kept if rows == ids else kept.dropDuplicates(["doc_id"])).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents that are left, with their places in training sequences."""
+    _share_code(spark)
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("quality classifier", keep_good), ("line dedup", drop_boilerplate), ("n-gram Jaccard join", one_of_each), ("best-fit packing", packed)]
+#: The classifier and the packing have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; between stages rows are kept in the shared checkpoint folder."""
+    docs = table(spark, sf_dir, "documents")
+    for number, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if number < len(STAGES) - 1:
+            docs = settled(docs)
+    return docs

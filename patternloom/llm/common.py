@@ -70,3 +70,34 @@ def gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, pick: np
     total = int(n.sum())
     shift = np.repeat(starts[pick] - (np.cumsum(n) - n), n)
     return flat[shift + np.arange(total, dtype=shift.dtype)], n
+
+
+def _places(values: np.ndarray, bits: int) -> list[np.ndarray]:
+    h, shift = values.view(np.uint64), np.uint64(64 - (bits.bit_length() - 1))
+    return [((h ^ (h >> np.uint64(31))) * np.uint64(m) >> shift).astype(np.int64) for m in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)]
+
+
+def bitmap(values: DataFrame, count: int, most_bits: int = 1 << 28) -> np.ndarray:
+    """A Bloom filter over the one long column of ``values``: 16 bits a value, ``most_bits`` (a power of 2) at most.
+
+    It is for leaving rows out early that a later join would drop; where it is full, it leaves fewer out.
+    """
+    bits = min(most_bits, max(1 << 10, 1 << (16 * count).bit_length()))
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.concatenate(_places(np.asarray(batch.column(0)), bits))
+            yield pa.RecordBatch.from_arrays([pa.array((at >> 6).astype(np.int32)), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], ["word", "bits"])
+
+    got = values.mapInArrow(words, "word int, bits long").groupBy("word").agg({"bits": "bit_or"}).toDF("word", "bits").toArrow()
+    out = np.zeros(bits // 64, np.uint64)
+    out[np.asarray(got["word"])] = np.asarray(got["bits"]).view(np.uint64)
+    return out
+
+
+def in_bitmap(words: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which values may be among those of ``bitmap``; those that were are."""
+    hit = np.ones(len(values), bool)
+    for at in _places(values, len(words) * 64):
+        hit &= (words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+    return hit

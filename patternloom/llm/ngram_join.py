@@ -18,10 +18,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_words, settled, slices, strings
+from .common import ascii_words, bitmap, in_bitmap, settled, slices, strings
 from .components import components
 
 SLICE_CHARS = 6_000_000
@@ -105,8 +106,35 @@ def _as_long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _described(docs: DataFrame, n: int, threshold: float) -> DataFrame:
-    """doc_id, n_shingles, set_id (equal sets, equal ids; null if empty) and the set's fragment keys."""
+def _keys(docs: DataFrame, n: int, threshold: float) -> DataFrame:
+    """The fragment keys of every document, a row each."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = strings(batch.column(0))
+            for low, high in slices(texts, SLICE_CHARS):
+                for s in shingle_groups(shingle_sets(texts.slice(low, high - low), n)):
+                    yield pa.RecordBatch.from_arrays([_as_long(np.concatenate([fragment_keys(x, threshold) for x in s]))], ["key"])
+
+    return docs.select(F.col("text").cast("string")).mapInArrow(rows, "key long")
+
+
+def shingle_groups(sets: list[np.ndarray], most: int = 500_000) -> Iterator[list[np.ndarray]]:
+    """The sets in groups of about ``most`` n-grams."""
+    group: list[np.ndarray] = []
+    size = 0
+    for s in sets:
+        group.append(s)
+        size += len(s)
+        if size >= most:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
+def _described(docs: DataFrame, n: int, threshold: float, shared: Broadcast) -> DataFrame:
+    """doc_id, n_shingles, set_id (equal sets, equal ids; null if empty) and those of its fragment keys that may be shared."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,7 +143,7 @@ def _described(docs: DataFrame, n: int, threshold: float) -> DataFrame:
                 sets = shingle_sets(texts.slice(low, high - low), n)
                 sizes = np.array([len(s) for s in sets], np.int64)
                 ids = np.array([mixed(np.sum(mixed(s ^ _A), keepdims=True) + np.uint64(len(s)))[0] if len(s) else 0 for s in sets], np.uint64)
-                keys = [fragment_keys(s, threshold) for s in sets]
+                keys = [k[in_bitmap(shared.value, k)] for k in (fragment_keys(s, threshold) for s in sets)]
                 offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
                 flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(sizes), pa.array(ids.view(np.int64), mask=sizes == 0), pa.ListArray.from_arrays(pa.array(offsets), _as_long(flat))], ["doc_id", "n_shingles", "set_id", "keys"])
@@ -123,6 +151,19 @@ def _described(docs: DataFrame, n: int, threshold: float) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(rows, "doc_id long, n_shingles long, set_id long, keys array<long>")
 
 
+def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``ids(doc_id, set_id)`` names; most others are left out before the join."""
+    count = ids.count()
+    wanted = docs.sparkSession.sparkContext.broadcast(bitmap(ids.select("doc_id"), count))
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_bitmap(wanted.value, np.asarray(batch.column(0)))))
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    return rows.mapInArrow(likely, "doc_id long, text string").join(ids, "doc_id").dropDuplicates(["set_id"]).select("set_id", "text")
+
+
 def _fragments(docs: DataFrame, n: int) -> DataFrame:
     """``docs(set_id, text)`` to set_id, n, fragment and the set's hashes in that fragment of the order."""
 
@@ -199,16 +240,17 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, threshold: float = 0.9) -> D
     Repeated rows each get a row; a null doc_id never names a component that has another id.
     n-grams are told apart by 64-bit hashes. Other columns are left out.
     """
-    described = settled(_described(docs, n, threshold))
+    repeated = settled(_keys(docs, n, threshold).groupBy("key").count().where("count > 1").select("key"))
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(repeated, repeated.count()))
+    described = settled(_described(docs, n, threshold, shared))
     # one set, one node, whatever the number of its copies
     sets = settled(described.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least_id")))
     listed = described.where("set_id is not null").select("set_id", F.explode("keys").alias("key"))
-    shared = listed.groupBy("key").agg(F.min("set_id").alias("hub"), F.max("set_id").alias("top")).where("hub < top")
-    members = settled(listed.join(shared.select("key", "hub"), "key").distinct())
+    hubs = listed.groupBy("key").agg(F.min("set_id").alias("hub"), F.max("set_id").alias("top")).where("hub < top")
+    members = settled(listed.join(hubs.select("key", "hub"), "key").distinct())
     stars = settled(members.where("set_id <> hub").select(F.col("hub").alias("a"), F.col("set_id").alias("b")).distinct())
-    involved = members.select("set_id").distinct().join(sets, "set_id").where("least_id is not null")
-    texts = involved.join(docs.select(F.col("doc_id").cast("long").alias("least_id"), F.col("text").cast("string")), "least_id").dropDuplicates(["set_id"]).select("set_id", "text")
-    fragments = settled(_fragments(texts, n))
+    involved = settled(members.select("set_id").distinct().join(sets, "set_id").where("least_id is not null").select(F.col("least_id").alias("doc_id"), "set_id"))
+    fragments = settled(_fragments(_texts_of(docs, involved), n))
     links = settled(_linked(stars, fragments, threshold))
     labels = settled(components(links))
 
