@@ -104,7 +104,7 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.95, seed: int = 11)
     placed = ready.select("node", "size", F.posexplode("signs").alias("table", "bucket"))
     loads = placed.groupBy("size", "table", "bucket").count().where("count > 1").select("size", "table", "bucket", F.ceil(F.col("count") / BLOCK).alias("blocks"))
     dealt = placed.join(loads, ["size", "table", "bucket"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    tiles = dealt.select("node", "size", "table", "bucket", "block", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).cast("long").alias("other"))
+    tiles = dealt.select("node", "size", "table", "bucket", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     tiles = tiles.select("node", "size", "table", "bucket", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     found = settled(tiles.join(ready.select("node", "copies", "v", "signs"), "node").groupBy("size", "table", "bucket", "i", "j").applyInPandas(lambda group: _tile(group, threshold), "a long, b long, n long"))
     links = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").cast(LongType()).alias("n"))

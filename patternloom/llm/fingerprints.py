@@ -7,6 +7,8 @@ containment and the number of distinct shingles, and are exact for texts of fewe
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,15 +17,19 @@ from .common import settled
 K, WORDS = 128, 5
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once; a lambda would compute an expression again for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def sketch(text: Column, k: int = K, words: int = WORDS) -> Column:
     """The k least distinct hashes, rising; a text of fewer words is one shingle, one without words has an empty sketch."""
-    found = F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    hashes = F.transform(found, lambda w: F.xxhash64(w))
-    return _least(F.when(F.size(hashes) >= words, F.transform(F.sequence(F.lit(0), F.size(hashes) - words), lambda i: F.xxhash64(*(F.get(hashes, i + j) for j in range(words))))).when(F.size(hashes) > 0, F.array(F.xxhash64(hashes))).otherwise(F.array().cast("array<bigint>")), k)
+    hashed = F.transform(F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda w: w != ""), lambda w: F.xxhash64(w))
 
+    def shingles(h: Column) -> Column:
+        return F.when(F.size(h) >= words, F.transform(F.sequence(F.lit(0), F.size(h) - words), lambda i: F.xxhash64(*(F.get(h, i + j) for j in range(words))))).when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>"))
 
-def _least(hashes: Column, k: int) -> Column:
-    return F.slice(F.sort_array(F.array_distinct(hashes)), 1, k)
+    return F.slice(F.sort_array(F.array_distinct(let(hashed, shingles))), 1, k)
 
 
 def merged(a: Column, b: Column, k: int = K) -> Column:
@@ -33,9 +39,7 @@ def merged(a: Column, b: Column, k: int = K) -> Column:
 
 def resemblance(a: Column, b: Column, k: int = K) -> Column:
     """Estimated Jaccard similarity of the shingle sets; 1 for two empty ones, 0 if one is empty."""
-    union = merged(a, b, k)
-    both = F.size(F.array_intersect(F.array_intersect(union, a), b))
-    return F.when(F.size(union) == 0, F.lit(1.0)).otherwise(both / F.size(union))
+    return let(merged(a, b, k), lambda u: F.when(F.size(u) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(F.array_intersect(u, a), b)) / F.size(u)))
 
 
 def distinct_shingles(a: Column, k: int = K) -> Column:

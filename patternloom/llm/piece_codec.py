@@ -65,14 +65,12 @@ class PieceCodec:
         hit = self.keys[at] == key
         return np.where(hit, self.key_scores[at], -np.inf), np.where(hit, self.key_ids[at], -1)
 
-    def _merged(self, words: list[str]) -> list[list[tuple[int, int]]]:
-        """The final symbols, as spans, of words of one length."""
+    def _merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The final symbols of words of one length, in order: word, start, end, piece id."""
         length = len(words[0])
         codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(-1, length).astype(np.uint64)
-        prefix, power = self._prefixes(codes), np.ones(length + 1, np.uint64)
-        for i in range(length):
-            power[i + 1] = power[i] * _BASE
-        self._last = (prefix, power)
+        prefix = self._prefixes(codes)
+        power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(length, _BASE)]))
         row = np.arange(len(words))
         bounds = np.tile(np.arange(length + 1), (len(words), 1))
         score = np.stack([self._probe(prefix, power, row, bounds[:, i], bounds[:, i + 2])[0] for i in range(length - 1)], 1) if length > 1 else np.zeros((len(words), 0))
@@ -98,23 +96,16 @@ class PieceCodec:
                 if ok.any():
                     r, a = every[ok], at[ok]
                     score[r, a] = self._probe(prefix, power, row[r], bounds[r, a], bounds[r, a + 2])[0]
-        self._done = done
-        return []
+        sizes = [bounds.shape[1] - 1 for _, bounds in done]
+        word = np.concatenate([np.repeat(row, n) for (row, _), n in zip(done, sizes, strict=True)])
+        start, end = (np.concatenate([part(bounds).ravel() for _, bounds in done]) for part in (lambda b: b[:, :-1], lambda b: b[:, 1:]))
+        order = np.lexsort((start, word))
+        word, start, end = word[order], start[order], end[order]
+        return word, start, end, self._probe(prefix, power, word, start, end)[1]
 
     def _ids_of_length(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words of one length, end to end in the words' order, and their numbers."""
-        self._merged(words)
-        prefix, power = self._last
-        rows, starts, ends = [], [], []
-        for row, bounds in self._done:
-            n = bounds.shape[1] - 1
-            rows.append(np.repeat(row, n))
-            starts.append(bounds[:, :-1].ravel())
-            ends.append(bounds[:, 1:].ravel())
-        row, start, end = np.concatenate(rows), np.concatenate(starts), np.concatenate(ends)
-        order = np.lexsort((start, row))
-        row, start, end = row[order], start[order], end[order]
-        ids = self._probe(prefix, power, row, start, end)[1]
+        row, start, _, ids = self._merged(words)
         counts = np.bincount(row, minlength=len(words))
         if (ids >= 0).all():
             return ids, counts
@@ -177,6 +168,7 @@ class PieceCodec:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids end to end, and how many each has; an empty text has none."""
+        texts = pc.replace_substring(texts, SPACE, " ")
         lists = pc.split_pattern(texts, " ")
         parts, row = lists.flatten(), np.asarray(pc.list_parent_indices(lists)).astype(np.int64)
         nonempty = np.asarray(pc.binary_length(texts)) > 0
@@ -190,8 +182,9 @@ class PieceCodec:
         coded = parts.take(pa.array(close)).dictionary_encode()
         codes = np.asarray(coded.indices).astype(np.int64)
         names = coded.dictionary.to_pylist()
-        pairs, pick = np.unique(codes * (1 + spaces.max(initial=1)) + spaces, return_inverse=True)
-        distinct = [SPACE * int(p % (1 + spaces.max(initial=1))) + names[p // (1 + spaces.max(initial=1))] for p in pairs.tolist()]
+        most = 1 + int(spaces.max(initial=1))
+        pairs, pick = np.unique(codes * most + spaces, return_inverse=True)
+        distinct = [SPACE * (p % most) + names[p // most] for p in pairs.tolist()]
         flat, counts = self.words(distinct)
         ids, n = gathered(flat, np.cumsum(counts) - counts, counts, pick)
         return ids, np.bincount(row[close], weights=n, minlength=len(texts)).astype(np.int64)
