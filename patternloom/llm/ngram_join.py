@@ -164,8 +164,8 @@ def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.mapInArrow(likely, "doc_id long, text string").join(ids, "doc_id").dropDuplicates(["set_id"]).select("set_id", "text")
 
 
-def _fragments(docs: DataFrame, n: int) -> DataFrame:
-    """``docs(set_id, text)`` to set_id, n, fragment and the set's hashes in that fragment of the order."""
+def _cut_sets(docs: DataFrame, n: int) -> DataFrame:
+    """``docs(set_id, text)`` to set_id, n and parts: the set's hashes in each fragment of the order."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,14 +175,15 @@ def _fragments(docs: DataFrame, n: int) -> DataFrame:
                 sizes = np.array([len(s) for s in sets], np.int64)
                 bounds = np.concatenate([np.searchsorted(_cut(s, COUNTED), np.arange(1, COUNTED + 1, dtype=np.uint64)) for s in sets])
                 offsets = np.concatenate([[0], bounds + np.repeat(np.cumsum(sizes) - sizes, COUNTED)]).astype(np.int32)
-                of = np.repeat(np.arange(len(sets)), COUNTED)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(of)), pa.array(sizes[of]), pa.array(np.tile(np.arange(COUNTED, dtype=np.int32), len(sets))), pa.ListArray.from_arrays(pa.array(offsets), _as_long(np.concatenate(sets)))], ["set_id", "n", "fragment", "hashes"])
+                parts = pa.ListArray.from_arrays(pa.array(offsets), _as_long(np.concatenate(sets)))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * COUNTED), parts)], ["set_id", "n", "parts"])
 
-    return docs.mapInArrow(rows, "set_id long, n long, fragment int, hashes array<long>")
+    return docs.mapInArrow(rows, "set_id long, n long, parts array<array<long>>")
 
 
-def _linked(pairs: DataFrame, fragments: DataFrame, threshold: float) -> DataFrame:
+def _linked(pairs: DataFrame, cut: DataFrame, threshold: float) -> DataFrame:
     """Those of ``pairs(a, b)`` that are similar: overlaps by fragment, summed per pair."""
+    fragments = cut.select("set_id", "n", F.posexplode("parts").alias("fragment", "hashes"))
     left = fragments.select(F.col("set_id").alias("a"), F.col("n").alias("n_a"), "fragment", F.col("hashes").alias("h_a"))
     right = fragments.select(F.col("set_id").alias("b"), F.col("n").alias("n_b"), "fragment", F.col("hashes").alias("h_b"))
     partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("h_a", "h_b")).alias("shared"))
@@ -192,15 +193,14 @@ def _linked(pairs: DataFrame, fragments: DataFrame, threshold: float) -> DataFra
 
 
 def _spanning(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Links that connect all similar sets of a group of fragments (set_id, n, fragment, hashes) as all its links do."""
-    ids, row = np.unique(group["set_id"].to_numpy(np.int64), return_inverse=True)
-    sizes = np.zeros(len(ids), np.int64)
-    sizes[row] = group["n"].to_numpy(np.int64)
+    """Links that connect all similar sets of a group (set_id, n, parts) as all its links do: overlaps by fragment, summed."""
+    group = group.drop_duplicates("set_id")
+    ids, sizes = group["set_id"].to_numpy(np.int64), group["n"].to_numpy(np.int64)
     shared = np.zeros((len(ids), len(ids)), np.float32)
-    for _, at in group.groupby("fragment").indices.items():
-        lists = group["hashes"].to_numpy()[at]
-        owners = np.repeat(row[at], [len(x) for x in lists])
-        values, code, df = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+    for fragment in range(COUNTED):
+        lists = [parts[fragment] for parts in group["parts"]]
+        owners = np.repeat(np.arange(len(ids)), [len(x) for x in lists])
+        _, code, df = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
         column = np.cumsum(df > 1) - 1
         keep = (df > 1)[code]
         for low in range(0, int((df > 1).sum()), 2048):  # hashes that two sets have at least, so many at a time
@@ -208,7 +208,6 @@ def _spanning(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
             has = np.zeros((len(ids), 2048), np.float32)
             has[owners[now], column[code[now]] - low] = 1
             shared += has @ has.T
-        del values
     parts = round(threshold * 100)
     like = shared.astype(np.int64) * 100 >= (sizes[:, None] + sizes - shared.astype(np.int64)) * parts
     np.fill_diagonal(like, False)
@@ -223,13 +222,13 @@ def _spanning(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return pd.DataFrame({"a": ids[label[far]], "b": ids[far]})
 
 
-def _blocked_links(large: DataFrame, fragments: DataFrame, threshold: float) -> DataFrame:
+def _blocked_links(large: DataFrame, cut: DataFrame, threshold: float) -> DataFrame:
     """Spanning links of ``large(key, set_id, m)``: each pair of blocks of a group is a task of bounded size."""
     blocks = F.ceil(F.col("m") / BLOCK)
     dealt = large.select("key", "set_id", blocks.alias("blocks"), F.pmod(F.xxhash64("set_id"), blocks).alias("block"))
     tiles = dealt.select("key", "set_id", "block", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).alias("other"))
     tiles = tiles.select("key", "set_id", F.least("block", F.col("other")).alias("i"), F.greatest("block", F.col("other")).alias("j"))
-    return tiles.join(fragments, "set_id").groupBy("key", "i", "j").applyInPandas(lambda group: _spanning(group, threshold), "a long, b long").distinct()
+    return tiles.join(cut, "set_id").groupBy("key", "i", "j").applyInPandas(lambda group: _spanning(group, threshold), "a long, b long").distinct()
 
 
 def ngram_jaccard_join(docs: DataFrame, n: int = 3, threshold: float = 0.9) -> DataFrame:
@@ -250,8 +249,8 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, threshold: float = 0.9) -> D
     members = settled(listed.join(hubs.select("key", "hub"), "key").distinct())
     stars = settled(members.where("set_id <> hub").select(F.col("hub").alias("a"), F.col("set_id").alias("b")).distinct())
     involved = settled(members.select("set_id").distinct().join(sets, "set_id").where("least_id is not null").select(F.col("least_id").alias("doc_id"), "set_id"))
-    fragments = settled(_fragments(_texts_of(docs, involved), n))
-    links = settled(_linked(stars, fragments, threshold))
+    cut = settled(_cut_sets(_texts_of(docs, involved), n))
+    links = settled(_linked(stars, cut, threshold))
     labels = settled(components(links))
 
     # fragments whose sets are not all connected yet: every pair across components, save those with the hub
@@ -259,12 +258,12 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, threshold: float = 0.9) -> D
     split = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
     open_ = settled(named.join(split, "key"))
     sized = open_.groupBy("key").count().withColumnRenamed("count", "m")
-    blocked = settled(_blocked_links(open_.join(sized.where(F.col("m") > PAIRED), "key").select("key", "set_id", "m"), fragments, threshold))
+    blocked = settled(_blocked_links(open_.join(sized.where(F.col("m") > PAIRED), "key").select("key", "set_id", "m"), cut, threshold))
     few = open_.join(sized.where(F.col("m") <= PAIRED).select("key"), "key")
     other = few.select("key", F.col("set_id").alias("q"), F.col("label").alias("q_label"))
     across = few.select("key", "hub", F.col("set_id").alias("p"), F.col("label").alias("p_label")).join(other, "key").where("p < q and p_label <> q_label and p <> hub and q <> hub")
     pairs = settled(across.select(F.col("p").alias("a"), F.col("q").alias("b")).distinct())
-    more = settled(blocked.unionByName(_linked(pairs, fragments, threshold)))
+    more = settled(blocked.unionByName(_linked(pairs, cut, threshold)))
     final = labels if not more.take(1) else settled(components(links.unionByName(more)))
     final = final.withColumnRenamed("node", "set_id")
     least = sets.join(final, "set_id").groupBy("label").agg(F.min("least_id").alias("component"))
