@@ -1,8 +1,8 @@
 """Operator 6: self-join of documents by the Jaccard similarity of their word n-gram sets.
 
 The global order of n-grams is that of a 64-bit hash. It is cut into fragments (vertical
-partitioning). Two sets as alike as the threshold asks differ in at most D n-grams, so of D + 1
-fragments at least one is the same in both; a key per fragment finds such pairs, and no others
+partitioning). Two sets as alike as the threshold asks differ in at most D n-grams, so of more than
+D fragments at least one is the same in both; a key per fragment finds such pairs, and no others
 need a look. For each pair the overlaps are counted fragment by fragment and summed.
 
 Equal sets count as one node. A group of sets that share a fragment is first compared with its
@@ -11,6 +11,7 @@ least set only, and in full only where its sets are still in different component
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -29,8 +30,8 @@ SLICE_CHARS = 6_000_000
 #: Sets that share a fragment: up to so many are compared as pairs of rows; more are compared as
 #: blocks of so many against each other inside a task, which emits only links that span them.
 PAIRED, BLOCK = 48, 512
-#: Fragments in which overlaps are counted.
-COUNTED = 8
+#: Fragments in which overlaps are counted; cuts of a set that leave too many fragments empty.
+COUNTED, CUTS = 8, 6
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -72,10 +73,18 @@ def size_class(size: int, threshold: float) -> int:
     return math.floor(math.log(size) / -math.log(threshold) + 1e-9)
 
 
-def class_fragments(c: int, threshold: float) -> int:
-    """One more than the n-grams by which two similar sets of this class or the one below can differ."""
+@functools.cache
+def class_fragments(c: int, threshold: float) -> tuple[int, int]:
+    """Fragments for the sets of a class and the one below, and how many of them a set may have empty.
+
+    Two similar sets differ in D n-grams at most, so with D + 1 + e fragments 1 + e are the same in both, and one
+    of these isn't empty unless a set has more than e empty ones. No fragments: only equal sets are similar.
+    """
     largest = math.ceil(threshold ** -(c + 1))
-    return math.floor(2 * largest * (1 - threshold) / (1 + threshold) + 1e-9) + 1
+    differ = math.floor(2 * largest * (1 - threshold) / (1 + threshold) + 1e-9)
+    empty = (differ + 1) * math.exp(-largest * threshold**1.6 / (differ + 1))
+    spare = math.ceil(empty + 3 * math.sqrt(empty)) if differ >= 8 and empty >= 0.05 else 0
+    return (differ + 1 + spare if differ else 0), spare
 
 
 def _cut(hashes: np.ndarray, fragments: int) -> np.ndarray:
@@ -83,23 +92,30 @@ def _cut(hashes: np.ndarray, fragments: int) -> np.ndarray:
 
 
 def fragment_keys(hashes: np.ndarray, threshold: float) -> np.ndarray:
-    """Keys of which two sets (sorted distinct hashes) share one at least if they are similar."""
-    if not len(hashes):
-        return np.zeros(0, np.uint64)
-    own, sums = size_class(len(hashes), threshold), np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(hashes))])
+    """Keys of which two sets (sorted distinct hashes) share one at least if they are similar.
+
+    A set with more empty fragments than its class may have is cut again by another hash, up to ``CUTS``
+    times: of two similar sets either one has few empty fragments in a cut, or both go on to the next.
+    In the last cut empty fragments are keys too.
+    """
     keys = []
-    for c in (own, own + 1):
-        fragments = class_fragments(c, threshold)
-        bounds = np.searchsorted(_cut(hashes, fragments), np.arange(fragments + 1, dtype=np.uint64))
-        seg, places = sums[bounds[1:]] - sums[bounds[:-1]], mixed(np.arange(fragments, dtype=np.uint64) + (np.uint64(c) << np.uint64(32)))
-        empty = bounds[1:] == bounds[:-1]
-        keys.append(mixed(seg[~empty] + places[~empty]))
-        if empty.any():  # says nothing: such a pair is also alike in one fragment of a second cut
-            again = mixed(hashes ^ _C)
-            other = np.zeros(fragments, np.uint64)
-            np.add.at(other, _cut(again, fragments).astype(np.int64), again)
-            keys.append(mixed(mixed(other + places) + mixed(places[empty] ^ _B)[:, None]).ravel())
-    return np.unique(np.concatenate(keys))
+    for c in (size_class(len(hashes), threshold), size_class(len(hashes), threshold) + 1) if len(hashes) else ():
+        fragments, spare = class_fragments(c, threshold)
+        if not fragments:
+            continue
+        places = mixed(np.arange(fragments, dtype=np.uint64) + (np.uint64(c) << np.uint64(32)))
+        now = hashes
+        for cut in range(CUTS):
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(now))])
+            bounds = np.searchsorted(_cut(now, fragments), np.arange(fragments + 1, dtype=np.uint64))
+            seg, full = sums[bounds[1:]] - sums[bounds[:-1]], bounds[1:] > bounds[:-1]
+            done = fragments - int(full.sum()) <= spare
+            keep = full if done or cut < CUTS - 1 else np.ones(fragments, bool)
+            keys.append(mixed(seg[keep] + places[keep] + np.uint64(cut)))
+            if done:
+                break
+            now = np.sort(mixed(now ^ _C))
+    return np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
 
 
 def _as_long(x: np.ndarray) -> pa.Array:
