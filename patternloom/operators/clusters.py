@@ -7,6 +7,8 @@ label propagation; a cluster whose patterns lie too far apart is split by a stri
 
 from __future__ import annotations
 
+import functools
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,15 +40,16 @@ def _labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def _split(cluster: pd.DataFrame, diff_ratio: float, speed: float, looseness: float) -> pd.DataFrame:
     """One cluster, split until each part is tight; then its name by what all members share."""
     members = [(p, list(s), list(w)) for p, s, w in sorted(zip(cluster["ptn"], cluster["parts"], cluster["words"], strict=True))]
-    far = lambda x, y: edit_distance(x, y) / max(1, len(x), len(y))
+    far = functools.cache(lambda kind, i, j: edit_distance(kind_of[kind][i], kind_of[kind][j]) / max(1, len(kind_of[kind][i]), len(kind_of[kind][j])))
     codes = {t: i for i, t in enumerate(sorted({t for _, s, _ in members for t in s}))}
     full = [[codes[t] for t in s] for _, s, _ in members]
     word = [[codes[t] for t in w] for _, _, w in members]
+    kind_of = {"full": full, "word": word}
     todo, done = [(list(range(len(members))), diff_ratio)], []
     while todo:
         group, ratio = todo.pop()
         pairs = [(i, j) for a, i in enumerate(group) for j in group[a + 1 :]]
-        if not pairs or ratio < 1e-3 or sum(far(full[i], full[j]) for i, j in pairs) / len(pairs) <= looseness:
+        if not pairs or ratio < 1e-3 or sum(far("full", i, j) for i, j in pairs) / len(pairs) <= looseness:
             done.append(group)
             continue
         ratio /= speed
@@ -58,7 +61,7 @@ def _split(cluster: pd.DataFrame, diff_ratio: float, speed: float, looseness: fl
             return i
 
         for i, j in pairs:
-            if far(word[i], word[j]) < ratio:
+            if far("word", i, j) < ratio:
                 root[max(find(i), find(j))] = min(find(i), find(j))
         todo += [([i for i in group if find(i) == r], ratio) for r in sorted({find(i) for i in group})]
     rows = []
@@ -74,19 +77,22 @@ def _split(cluster: pd.DataFrame, diff_ratio: float, speed: float, looseness: fl
 def meta_clusters(ptns: DataFrame, diff_ratio: float = 0.30, refinement_speed: float = 2.0, looseness: float = 0.20) -> DataFrame:
     """``ptn, meta, meta_ptn``: each pattern's cluster, named by its least pattern, and the cluster's common text.
 
-    Patterns with equal word sequences are always together at first. An empty input gives no rows.
+    Patterns with equal word sequences are together at first. A cluster's refinement is one task: its members are
+    patterns, of which a site has thousands, not messages. An empty input gives no rows.
     """
     parts = _parts(F.col("ptn"))
     rows = _settled(ptns.select("ptn", parts.alias("parts"), F.filter(parts, lambda t: t.rlike(r"^\w+$")).alias("words")).distinct())
     groups = _settled(rows.groupBy("words").agg(F.min("ptn").alias("node")).withColumn("n", F.size("words")))
-    coded = groups.select("node", "n", F.transform("words", lambda w: F.xxhash64(w)).alias("ids"))
-    # lengths a and b can only be near if b < a / (1 - ratio): join on classes of length
-    base = 1 / (1 - diff_ratio) if diff_ratio < 1 else 1e9
-    cls = F.when(F.col("n") > 0, F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(float(base))))).otherwise(-1)
-    left = coded.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("ids").alias("x"), F.explode(F.array(cls - 1, cls, cls + 1)).alias("c"))
-    right = coded.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("ids").alias("y"), cls.alias("c"))
-    longest = F.greatest("n_a", "n_b", F.lit(1))
-    near = left.join(right, "c").where((F.col("a") < F.col("b")) & (F.abs(F.col("n_a") - F.col("n_b")) / longest < diff_ratio))
+    # the same token for the i-th time is an element of its own; of sequences nearer than the ratio, the
+    # least few elements have one in common
+    element = F.transform("words", lambda w, i: F.xxhash64(w, F.size(F.filter(F.slice("words", F.lit(1), i), lambda x: x == w))))
+    coded = _settled(groups.where("n > 0").select("node", "n", F.transform("words", lambda w: F.xxhash64(w)).alias("ids"), F.sort_array(element).alias("elements")))
+    few = F.slice("elements", F.lit(1), F.floor(F.col("n") * min(diff_ratio, 1.0)).cast("int") + 1)
+    keyed = coded.select("node", "n", F.explode(few).alias("element"))
+    left, right = (keyed.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), "element") for x in ("a", "b"))
+    longest = F.greatest("n_a", "n_b")
+    near = left.join(right, "element").where((F.col("a") < F.col("b")) & (F.abs(F.col("n_a") - F.col("n_b")) / longest < diff_ratio)).select("a", "b", "n_a", "n_b").distinct()
+    near = near.join(coded.select(F.col("node").alias("a"), F.col("ids").alias("x")), "a").join(coded.select(F.col("node").alias("b"), F.col("ids").alias("y")), "b")
     edges = near.where(levenshtein_ids("x", "y") / longest < diff_ratio).select("a", "b")
     labels = _labels(groups, edges)
     member = rows.join(groups.select("words", "node"), "words").join(labels, "node").select("ptn", "parts", "words", "label")

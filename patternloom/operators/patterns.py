@@ -59,7 +59,7 @@ def token_dictionary(messages: DataFrame, known: DataFrame | None = None) -> Dat
     ``known(tkn_text, type_mask)`` are dictionary entries; their types are added, tokens that occur nowhere have
     a count of 0. A token known as word or host name is not text any more.
     """
-    seen = elements(messages).select(F.explode("argv").alias("e")).groupBy(F.col("e.text").alias("tkn_text")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.col("e.parsed") - 1)).alias("type_mask"), F.count("*").alias("tkn_count"))
+    seen = elements(messages).select(F.explode("argv").alias("e")).groupBy(F.col("e.text").alias("tkn_text")).agg(F.bit_or(F.expr("shiftleft(1L, e.parsed - 1)")).alias("type_mask"), F.count("*").alias("tkn_count"))
     if known is not None:
         seen = seen.unionByName(known.select("tkn_text", F.col("type_mask").cast("long"), F.lit(0).cast("long").alias("tkn_count")))
         seen = seen.groupBy("tkn_text").agg(F.bit_or("type_mask").alias("type_mask"), F.sum("tkn_count").alias("tkn_count"))

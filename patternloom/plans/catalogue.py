@@ -427,8 +427,8 @@ def reprocess_delta(spark, sf_dir):
 
 @query()
 def meta_cluster(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.concat(F.lit("<host> "), X.pattern_of(X.simple_tokens(F.regexp_extract("text", r"^[^\n]{0,60}", 0)), [])).alias("ptn")).distinct()
-    return clusters.meta_clusters(docs.unionByName(pattern_plain(with_pattern(spark, sf_dir)).select("ptn")))
+    kinds = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat_ws(" ", F.lit("<host>"), "p_brand", "p_type").alias("ptn")).distinct()
+    return clusters.meta_clusters(kinds.unionByName(pattern_plain(with_pattern(spark, sf_dir)).select("ptn")))
 
 
 @query("SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\n$', ''), '[\\x00-\\x1F\\x7F]', 'X', 'g'), '[\\x{80}-\\x{7FF}]', 'XX', 'g'), '[\\x{800}-\\x{FFFF}]', 'XXX', 'g'), '[^\\x00-\\x7F]', 'XXXX', 'g') AS line FROM documents")
