@@ -89,11 +89,15 @@ def fingerprint_documents(docs: DataFrame, k: int = K, words: int = WORDS) -> Da
     repeats = ids.where("rows > 1").limit(1).count() > 0
     asked = successors(ids.select("doc_id", "n")).select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("owner"), F.floor(F.col("n") / 4).cast("int").alias("take"))
     # both joins deal the texts by doc_id alike, so they are shuffled once
-    given = texts.join(asked, "doc_id")
+    given = texts.where("doc_id is not null").join(asked, "doc_id")
     if repeats:
         given = given.groupBy("owner", "take").agg(F.max("text").alias("text"))
     given = given.select("owner", F.expr("substring(text, 1, take)").alias("prefix"), sketch(F.col("text"), k, words).alias("next_sketch"))
-    rows = texts.join(given, texts["doc_id"] == given["owner"], "left").withColumn("n_chars", F.length("text").cast("long"))
+    # null ids apart: the two joins then read the same rows, and their shuffle is one
+    named = texts.where("doc_id is not null")
+    rows = named.join(given, named["doc_id"] == given["owner"], "left").select("doc_id", "text", "prefix", "next_sketch")
+    rows = rows.unionByName(texts.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("string").alias("prefix"), F.lit(None).cast("array<bigint>").alias("next_sketch")))
+    rows = rows.withColumn("n_chars", F.length("text").cast("long"))
     rows = rows.withColumn("edited", F.concat(F.expr("substring(text, 1, int(n_chars - floor(n_chars / 4)))"), F.coalesce(F.expr("substring(prefix, 1, int(floor(n_chars / 4)))"), F.lit(""))))
     rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), sketch(F.col("text"), k, words).alias("a"), sketch(F.col("edited"), k, words).alias("b"), F.coalesce("next_sketch", F.array().cast("array<bigint>")).alias("c"))
     return rows.select("doc_id", "n_chars", "edited_sha256", as_string(F.col("a")).alias("fingerprint"), as_string(F.col("b")).alias("edited_fingerprint"), resemblance(F.col("a"), F.col("b"), k).alias("near_edited"), resemblance(F.col("a"), F.col("c"), k).alias("near_next"))
