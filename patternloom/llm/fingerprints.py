@@ -83,7 +83,9 @@ def fingerprint_documents(docs: DataFrame, k: int = K, words: int = WORDS) -> Da
     each get a row, and the largest text stands for that id as the next one; a row without
     doc_id has no next document: it is edited by an empty text. An empty table gives no rows.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    # no alias on an id that is a long already: one side of the self-join would keep it, and their shuffles differ
+    doc_id = F.col("doc_id") if docs.schema["doc_id"].dataType.simpleString() == "bigint" else F.col("doc_id").cast("long").alias("doc_id")
+    texts = docs.select(doc_id, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ids = texts.where("doc_id is not null").select("doc_id", F.length("text").alias("n")).groupBy("doc_id").agg(F.max("n").alias("n"), F.count("*").alias("rows"))
     ids = settled(ids)
     repeats = ids.where("rows > 1").limit(1).count() > 0
