@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,9 +30,15 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def schema_of(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Only the named columns, whatever else the input carries."""
-    return df.select(*columns)
+def stored(df: DataFrame) -> DataFrame:
+    """As ``settled``, as a Parquet table in the same folder: for many rows, which take less room so."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+    path = f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def strings(column: pa.Array | pa.ChunkedArray) -> pa.Array:

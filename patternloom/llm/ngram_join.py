@@ -22,8 +22,9 @@ import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
-from .common import ascii_words, bitmap, in_bitmap, settled, slices, strings
+from .common import ascii_words, bitmap, in_bitmap, slices, stored, strings
 from .components import components
 
 SLICE_CHARS = 6_000_000
@@ -192,20 +193,52 @@ def _cut_sets(docs: DataFrame, n: int) -> DataFrame:
                 bounds = np.concatenate([np.searchsorted(_cut(s, COUNTED), np.arange(1, COUNTED + 1, dtype=np.uint64)) for s in sets])
                 offsets = np.concatenate([[0], bounds + np.repeat(np.cumsum(sizes) - sizes, COUNTED)]).astype(np.int32)
                 parts = pa.ListArray.from_arrays(pa.array(offsets), _as_long(np.concatenate(sets)))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * COUNTED), parts)], ["set_id", "n", "parts"])
+                fine, coarse = zip(*(_histograms(s) for s in sets), strict=True)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * COUNTED), parts), pa.array(fine, pa.list_(pa.int32())), pa.array(coarse, pa.list_(pa.int32()))], ["set_id", "n", "parts", "fine", "coarse"])
 
-    return docs.mapInArrow(rows, "set_id long, n long, parts array<array<long>>")
+    return docs.mapInArrow(rows, "set_id long, n long, parts array<array<long>>, fine array<int>, coarse array<int>")
+
+
+def _histograms(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many of a set's hashes lie in each of some equal ranges, about four in each, and with half as many ranges."""
+    bits = max(1, (len(s) // 4).bit_length())
+    fine = np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return fine, fine[::2] + fine[1::2]
+
+
+def _only(cut: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``cut`` that a join with ``ids(set_id)`` may need; most others don't reach its shuffle."""
+    ids = ids.distinct()
+    wanted = cut.sparkSession.sparkContext.broadcast(bitmap(ids, ids.count()))
+
+    def likely(set_ids: pd.Series) -> pd.Series:
+        return pd.Series(in_bitmap(wanted.value, set_ids.to_numpy(np.int64)))
+
+    return cut.where(F.pandas_udf(likely, BooleanType())("set_id"))
 
 
 def _linked(pairs: DataFrame, cut: DataFrame, threshold: float) -> DataFrame:
-    """Those of ``pairs(a, b)`` that are similar: overlaps by fragment, summed per pair."""
-    fragments = cut.select("set_id", "n", F.posexplode("parts").alias("fragment", "hashes"))
-    left = fragments.select(F.col("set_id").alias("a"), F.col("n").alias("n_a"), "fragment", F.col("hashes").alias("h_a"))
-    right = fragments.select(F.col("set_id").alias("b"), F.col("n").alias("n_b"), "fragment", F.col("hashes").alias("h_b"))
-    partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("h_a", "h_b")).alias("shared"))
-    total = partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("shared").alias("shared"))
+    """Those of ``pairs(a, b)`` that are similar.
+
+    Sizes and histograms bound a pair's overlap from above and leave most pairs out that aren't similar; for the
+    others overlaps are counted fragment by fragment and summed.
+    """
     parts = round(threshold * 100)
-    return total.where((F.col("shared") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("shared")) * parts)).select("a", "b")
+    enough = lambda shared: shared * 100 >= (F.col("n_a") + F.col("n_b") - shared) * parts
+    total = lambda array: F.aggregate(array, F.lit(0).cast("long"), lambda s, x: s + x)
+
+    def of(side: str, *columns: str) -> DataFrame:
+        return cut.select(F.col("set_id").alias(side), F.col("n").alias(f"n_{side}"), *(F.col(c).alias(f"{c}_{side}") for c in columns))
+
+    # ranges of two similar sets are as many, or half as many
+    level = lambda x, y: F.when(F.size(f"fine_{x}") <= F.size(f"fine_{y}"), F.col(f"fine_{x}")).otherwise(F.col(f"coarse_{x}"))
+    rows = pairs.join(of("a", "fine", "coarse"), "a").join(of("b", "fine", "coarse"), "b").where(enough(F.least("n_a", "n_b")))
+    bound = total(F.zip_with(level("a", "b"), level("b", "a"), lambda p, q: F.least(p, q).cast("long")))
+    likely = stored(rows.where(enough(bound)).select("a", "b"))
+    cut = _only(cut, likely.select(F.col("a").alias("set_id")).unionByName(likely.select(F.col("b").alias("set_id"))))
+    rows = likely.join(of("a", "parts"), "a").join(of("b", "parts"), "b")
+    partial = F.zip_with("parts_a", "parts_b", lambda p, q: F.size(F.array_intersect(p, q)).cast("long"))
+    return rows.where(enough(total(partial))).select("a", "b")
 
 
 def _spanning(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
@@ -240,11 +273,12 @@ def _spanning(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
 
 def _blocked_links(large: DataFrame, cut: DataFrame, threshold: float) -> DataFrame:
     """Spanning links of ``large(key, set_id, m)``: each pair of blocks of a group is a task of bounded size."""
+    large = stored(large)
     blocks = F.ceil(F.col("m") / BLOCK)
     dealt = large.select("key", "set_id", blocks.alias("blocks"), F.pmod(F.xxhash64("set_id"), blocks).alias("block"))
     tiles = dealt.select("key", "set_id", "block", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).alias("other"))
     tiles = tiles.select("key", "set_id", F.least("block", F.col("other")).alias("i"), F.greatest("block", F.col("other")).alias("j"))
-    return tiles.join(cut, "set_id").groupBy("key", "i", "j").applyInPandas(lambda group: _spanning(group, threshold), "a long, b long").distinct()
+    return tiles.join(_only(cut, large.select("set_id")).select("set_id", "n", "parts"), "set_id").groupBy("key", "i", "j").applyInPandas(lambda group: _spanning(group, threshold), "a long, b long").distinct()
 
 
 def ngram_jaccard_join(docs: DataFrame, n: int = 3, threshold: float = 0.9) -> DataFrame:
@@ -255,32 +289,33 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, threshold: float = 0.9) -> D
     Repeated rows each get a row; a null doc_id never names a component that has another id.
     n-grams are told apart by 64-bit hashes. Other columns are left out.
     """
-    repeated = settled(_keys(docs, n, threshold).groupBy("key").count().where("count > 1").select("key"))
+    repeated = stored(_keys(docs, n, threshold).groupBy("key").count().where("count > 1").select("key"))
     shared = docs.sparkSession.sparkContext.broadcast(bitmap(repeated, repeated.count()))
-    described = settled(_described(docs, n, threshold, shared))
+    described = stored(_described(docs, n, threshold, shared))
     # one set, one node, whatever the number of its copies
-    sets = settled(described.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least_id")))
-    listed = described.where("set_id is not null").select("set_id", F.explode("keys").alias("key"))
+    sets = stored(described.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least_id")))
+    once = described.where("size(keys) > 0").join(sets.select(F.col("least_id").alias("doc_id"), "set_id"), ["doc_id", "set_id"], "left_semi")
+    listed = once.select("set_id", F.explode("keys").alias("key"))
     hubs = listed.groupBy("key").agg(F.min("set_id").alias("hub"), F.max("set_id").alias("top")).where("hub < top")
-    members = settled(listed.join(hubs.select("key", "hub"), "key").distinct())
-    stars = settled(members.where("set_id <> hub").select(F.col("hub").alias("a"), F.col("set_id").alias("b")).distinct())
-    involved = settled(members.select("set_id").distinct().join(sets, "set_id").where("least_id is not null").select(F.col("least_id").alias("doc_id"), "set_id"))
-    cut = settled(_cut_sets(_texts_of(docs, involved), n))
-    links = settled(_linked(stars, cut, threshold))
-    labels = settled(components(links))
+    members = stored(listed.join(hubs.select("key", "hub"), "key").distinct())
+    stars = stored(members.where("set_id <> hub").select(F.col("hub").alias("a"), F.col("set_id").alias("b")).distinct())
+    involved = stored(members.select("set_id").distinct().join(sets, "set_id").where("least_id is not null").select(F.col("least_id").alias("doc_id"), "set_id"))
+    cut = stored(_cut_sets(_texts_of(docs, involved), n))
+    links = stored(_linked(stars, cut, threshold))
+    labels = stored(components(links))
 
     # fragments whose sets are not all connected yet: every pair across components, save those with the hub
     named = members.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").select("key", "hub", "set_id", F.coalesce("label", "set_id").alias("label"))
     split = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
-    open_ = settled(named.join(split, "key"))
+    open_ = stored(named.join(split, "key"))
     sized = open_.groupBy("key").count().withColumnRenamed("count", "m")
-    blocked = settled(_blocked_links(open_.join(sized.where(F.col("m") > PAIRED), "key").select("key", "set_id", "m"), cut, threshold))
+    blocked = stored(_blocked_links(open_.join(sized.where(F.col("m") > PAIRED), "key").select("key", "set_id", "m"), cut, threshold))
     few = open_.join(sized.where(F.col("m") <= PAIRED).select("key"), "key")
     other = few.select("key", F.col("set_id").alias("q"), F.col("label").alias("q_label"))
     across = few.select("key", "hub", F.col("set_id").alias("p"), F.col("label").alias("p_label")).join(other, "key").where("p < q and p_label <> q_label and p <> hub and q <> hub")
-    pairs = settled(across.select(F.col("p").alias("a"), F.col("q").alias("b")).distinct())
-    more = settled(blocked.unionByName(_linked(pairs, cut, threshold)))
-    final = labels if not more.take(1) else settled(components(links.unionByName(more)))
+    pairs = stored(across.select(F.col("p").alias("a"), F.col("q").alias("b")).distinct())
+    more = stored(blocked.unionByName(_linked(pairs, cut, threshold)))
+    final = labels if not more.take(1) else stored(components(links.unionByName(more)))
     final = final.withColumnRenamed("node", "set_id")
     least = sets.join(final, "set_id").groupBy("label").agg(F.min("least_id").alias("component"))
     named_sets = sets.join(final, "set_id", "left").join(least, "label", "left").select("set_id", F.coalesce("component", "least_id").alias("component_id"))
