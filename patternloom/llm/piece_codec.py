@@ -192,6 +192,8 @@ class PieceCodec:
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
         """Texts of id sequences that lie end to end; bytes that are no UTF-8 read as U+FFFD."""
         flat, n = gathered(self.raw, self.raw_starts, self.raw_lengths, ids)
+        if not len(counts):
+            return pa.array([], pa.string())
         ends = np.cumsum(np.bincount(np.repeat(np.arange(len(counts)), counts), weights=n, minlength=len(counts)).astype(np.int64))
         raw = flat.tobytes()
         texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
