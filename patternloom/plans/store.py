@@ -57,8 +57,6 @@ class Store:
     def table(self, name: str) -> DataFrame:
         """A table; an empty one where nothing has been written yet."""
         found = self._state()["tables"].get(name)
-        if name == "messages" and found:
-            return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/messages")
         return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{found}") if found else self.spark.createDataFrame([], SCHEMAS[name])
 
     def replace(self, name: str, rows: DataFrame) -> None:
@@ -81,8 +79,7 @@ class Store:
         number = state["batch"] + 1 if batch is None else batch
         typed = patterns.typed(messages.select("epoch_us", "host", "body"), words or []).persist()
         day = F.date_format(F.timestamp_micros("epoch_us"), "yyyy-MM-dd")
-        typed.select("epoch_us", "host", "body", "ptn", day.alias("dt")).withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt", "batch").parquet(f"{self.path}/messages")
-        state["tables"]["messages"] = "messages"
+        typed.select("epoch_us", "host", "body", "ptn", day.alias("dt")).withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt", "batch").parquet(f"{self.path}/{state['tables'].setdefault('messages', 'messages')}")
         known = self.spark.createDataFrame([(w, 1 << 16) for w in words], "tkn_text string, type_mask long") if words else None
         new = {
             "tokens": patterns.token_dictionary(messages, known),
@@ -112,21 +109,21 @@ class Store:
         """
         old = self.table("messages").select("epoch_us", "host", "body", F.col("ptn").alias("old_ptn"))
         typed = patterns.typed(old, words).persist()
-        moved = typed.where("old_ptn <> ptn").groupBy("old_ptn", F.col("ptn").alias("new_ptn")).agg(F.count("*").alias("msg_count")).persist()
-        moved.count()
         state = self._state()
         number = state["batch"] + 1
+        moves = f"{self.path}/moves/v{number}"
+        typed.where("old_ptn <> ptn").groupBy("old_ptn", F.col("ptn").alias("new_ptn")).agg(F.count("*").alias("msg_count")).write.mode("overwrite").parquet(moves)
         now = patterns.patterns(typed)
         gone = self.table("patterns").join(now.select("ptn"), "ptn", "left_anti").withColumn("msg_count", F.lit(0).cast("long"))
         for name, rows in (("patterns", now.unionByName(gone)), ("ptn_tkn", patterns.pattern_tokens(typed)), ("ptn_hist", histograms.pattern_hist(typed, total=False)), ("comp_hist", histograms.component_hist(typed))):
             self._put(state, name, rows, number)
         day = F.date_format(F.timestamp_micros("epoch_us"), "yyyy-MM-dd")
         typed.select("epoch_us", "host", "body", "ptn", day.alias("dt"), F.lit(number).alias("batch")).write.mode("overwrite").partitionBy("dt", "batch").parquet(f"{self.path}/messages_v{number}")
-        self.spark.read.parquet(f"{self.path}/messages_v{number}").write.mode("overwrite").partitionBy("dt", "batch").parquet(f"{self.path}/messages")
+        state["tables"]["messages"] = f"messages_v{number}"
         state["batch"] = number
         self._commit(state)
         typed.unpersist()
-        return moved
+        return self.spark.read.schema("old_ptn string, new_ptn string, msg_count long").parquet(moves)
 
 
 def union(stores: list[Store], name: str) -> DataFrame:
