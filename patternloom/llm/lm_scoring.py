@@ -153,9 +153,9 @@ def _read(docs: DataFrame, shared: Broadcast) -> DataFrame:
                 raw = flat.tobytes()
                 rare = ~found[codes]
                 lists = np.concatenate([[0], np.cumsum(np.bincount(row[rare], minlength=n))]).astype(np.int32)
-                base = np.bincount(row, weights=np.where(found, v.base(count), 0.0)[codes], minlength=n) + v.base(np.array([v.ends]))
+                base = np.bincount(row, weights=np.where(found, v.base(count), 0.0)[codes], minlength=n).astype(float) + v.base(np.array([v.ends]))
                 known = np.bincount(row, weights=found[codes], minlength=n).astype(np.int64) + (v.ends > 0)
-                shares = np.bincount(row, weights=share[codes], minlength=n)
+                shares = np.bincount(row, weights=share[codes], minlength=n).astype(float)
                 structs = pa.StructArray.from_arrays([pa.array(h[codes[rare]]), pa.array(correction[group[codes[rare]]])], ["h", "unseen"])
                 columns = [batch.column(0).slice(low, n), batch.column(1).slice(low, n), pa.array(tokens + 1), pa.array(known), pa.array(base), pa.array(shares)]
                 columns += [pa.array([raw[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.binary()), pa.ListArray.from_arrays(pa.array(lists), structs)]
