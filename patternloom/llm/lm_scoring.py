@@ -108,7 +108,8 @@ def _least_count(counts: DataFrame, most: int) -> int:
 
 def vocabulary(counts: DataFrame, documents: int) -> Vocabulary:
     total = counts.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
-    head_from, symbols_from = _least_count(counts, HEAD), _least_count(counts, SYMBOLS)
+    head_from = _least_count(counts, HEAD)
+    symbols_from = max(2, _least_count(counts, SYMBOLS))  # words seen once stand for those never seen
     head = counts.where(F.col("c") >= head_from).toArrow()
     hashes, c = np.asarray(head["h"]).astype(np.int64), np.asarray(head["c"]).astype(np.int64)
     order = np.argsort(hashes)
