@@ -2,8 +2,8 @@
 
 The pages of a host are merged into one style tree: its nodes are chains of block elements with
 their classes. A presentation node counts the sequences of children that pages show there, a content
-node the texts. A node is important as far as these counts spread (their entropy); branches of low importance repeat on
-page after page and are left out, as are those whose element or class says menu, advert and the like.
+node the texts. A node is important as far as these counts spread (their entropy), more so inside an article; branches of
+low importance repeat on page after page and are left out, as are those whose element or class says menu, advert and the like.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from .url_filter import host_of
 
 #: Share of the content in a node's importance, the least importance that stays, the least occurrences that tell.
 CONTENT, LEAST, OCCURRENCES = 0.9, 0.2, 8
+#: What an article or main element multiplies its branches' importance by.
+RAISED = 1.5
 #: Up to so many low branches in all go to every task; more are joined by host.
 BROADCAST_PATHS = 100_000
 
@@ -43,7 +45,6 @@ class Page:
     def __init__(self, source: str):
         self.blocks: list[tuple[str, str]] = []
         self.children: dict[str, list[str]] = {}
-        self.has_main = False
         self._stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # element, chain, noise, in main text
         self._text: list[str] = []
         self._parse(source)
@@ -62,7 +63,6 @@ class Page:
         named = " ".join(filter(None, (x for m in _NAME.finditer(attributes) for x in m.groups()[1:]))) if attributes else ""
         block = name in _BLOCK
         main = main or name in _MAIN
-        self.has_main |= name in _MAIN and not noise
         noise = noise or name in _NOISE or (name == "header" and not main) or bool(named and name not in ("html", "body") and _NAMED.search(named))
         if block:
             step = name + ("." + re.sub(r"\d+", "0", named).replace("/", "_") if named else "")
@@ -126,10 +126,9 @@ class Page:
                 return
 
     def text(self, low: frozenset[str] = frozenset()) -> str:
-        """Blocks in page order; inside the main text all, else those of branches that aren't ``low``."""
-        if self.has_main:
-            return "\n".join(t for chain, t in self.blocks if chain.endswith("#"))
-        return "\n".join(t for chain, t in self.blocks if chain not in low)
+        """Blocks in page order of branches that aren't ``low``; if all of an article's are, the tree doesn't tell and they stay."""
+        main = any(chain.endswith("#") for chain, _ in self.blocks) and all(chain in low for chain, _ in self.blocks if chain.endswith("#"))
+        return "\n".join(t for chain, t in self.blocks if chain not in low or (main and chain.endswith("#")))
 
 
 def style_nodes(pages: DataFrame) -> DataFrame:
@@ -155,22 +154,22 @@ def style_nodes(pages: DataFrame) -> DataFrame:
 
 
 def low_branches(pages: DataFrame) -> DataFrame:
-    """``host, low``: the chains of each host whose importance is below ``LEAST``."""
+    """``host, low``: the chains of each host whose importance, raised inside an article, is below ``LEAST``."""
     nodes = style_nodes(pages)
     parent = F.regexp_replace("chain", "/[^/]*$", "")
     text = nodes.where(F.col("kind") == "text").where(F.col("m") >= OCCURRENCES).select("host", "chain", parent.alias("parent"), F.col("importance").alias("content"))
     shape = nodes.where(F.col("kind") == "shape").select("host", F.col("chain").alias("parent"), F.col("importance").alias("presentation"))
     both = text.where(F.col("content") * CONTENT < LEAST).join(shape, ["host", "parent"], "left")
     importance = CONTENT * F.col("content") + (1 - CONTENT) * F.coalesce("presentation", F.lit(1.0))
-    return both.where(importance < LEAST).groupBy("host").agg(F.collect_set("chain").alias("low"))
+    raised = importance * F.when(F.col("chain").endswith("#"), RAISED).otherwise(1.0)
+    return both.where(raised < LEAST).groupBy("host").agg(F.collect_set("chain").alias("low"))
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
     """Per page: page_id, url, text (empty if none), n_chars.
 
-    Where a page marks its article, the text is the article's blocks without branches whose element or class says
-    otherwise; elsewhere the blocks of all branches that are neither named so nor of low importance on
-    their host. A null html is empty, a null URL has the empty host; repeated rows each get a row and count each.
+    The text is the blocks of all branches that are neither of low importance on their host nor named as something
+    else by element or class; an article raises the importance of its branches. A null html is empty, a null URL has the empty host; repeated rows each get a row and count each.
     """
     rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host_of(F.col("url")).alias("host"))
     low = settled(low_branches(rows))

@@ -53,6 +53,14 @@ def test_html_repeated_branches_go(spark):
     assert {r["text"] for r in got.collect()} == {f"Text number {i} of its own" for i in range(20)}
 
 
+def test_html_repeated_branches_of_an_article_go(spark):
+    page = "<body><article><h1>Title {0}</h1><p>Text number {0} of its own</p><div class=x><p>Same words on every page</div></article><div class=y><p>More of text {0}</div><div class=z><p>Same end</div></body>"
+    pages = [(i, f"http://site/{i}", page.format(i)) for i in range(20)] + [(100 + i, f"http://mirror/{i}", "<article><p>One text for all</article>") for i in range(20)]
+    got = html_text.extract_text(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    want = {i: f"Title {i}\nText number {i} of its own\nMore of text {i}" for i in range(20)} | {100 + i: "One text for all" for i in range(20)}
+    assert {r["page_id"]: r["text"] for r in got.collect()} == want
+
+
 def test_html_on_the_pages(spark):
     import html
 
