@@ -3,7 +3,8 @@
 The pages of a host are merged into one style tree: its nodes are chains of block elements with
 their classes. A presentation node counts the sequences of children that pages show there, a content
 node the texts. A node is important as far as these counts spread (their entropy), more so inside an article; branches of
-low importance repeat on page after page and are left out, as are those whose element or class says menu, advert and the like.
+low importance repeat on page after page and are left out, as are those whose element or class says menu, advert and the
+like, unless they wrap the article or nearly all of the page.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from .url_filter import host_of
 
 #: Share of the content in a node's importance, the least importance that stays, the least occurrences that tell.
 CONTENT, LEAST, OCCURRENCES = 0.9, 0.2, 8
-#: What an article or main element multiplies its branches' importance by.
-RAISED = 1.5
+#: What an article or main element multiplies its branches' importance by; the share of a page's text that makes a branch a wrapper.
+RAISED, WRAPS = 1.5, 0.75
 #: Up to so many low branches in all go to every task; more are joined by host.
 BROADCAST_PATHS = 100_000
 
@@ -31,49 +32,101 @@ BROADCAST_PATHS = 100_000
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 _BLOCK = frozenset("address article aside blockquote body center caption dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td template tfoot th thead tr ul".split())
-_NOISE = frozenset("nav aside form footer script style noscript template iframe svg canvas object button select option textarea head title dialog menu search audio video math xmp noembed noframes datalist".split())
+_NEVER = frozenset("script style noscript template iframe svg canvas object button select option textarea head title audio video math xmp noembed noframes datalist".split())
+_ASIDE = frozenset("nav aside form footer dialog menu search".split())
 _MAIN = frozenset(("article", "main"))
 # fixed values: what classes and ids of branches outside the main text are called
-_NAMED = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|side-?bar\w*|menu\w*|nav\w*|breadcrumbs?|footer|header|masthead|cookies?|notices?|consent|gdpr|pop-?up|modal|comments?|replies|disqus|respond|shar(?:e|ing)|social|promo\w*|sponsor\w*|related|subscribe|newsletter|login|sign-?up|widgets?|toolbar|skip-?link|alert)(?:$|[\s_-])", re.I)
+_WORDS = r"(?:ads?|advert\w*|banner|side-?bar\w*|menu\w*|nav\w*|breadcrumbs?|footer|header|masthead|cookies?|notices?|consent|gdpr|pop-?up|modal|comments?|replies|disqus|respond|shar(?:e|ing)|social|promo\w*|sponsor\w*|related|subscribe|newsletter|login|sign-?up|widgets?|toolbar|skip-?link|alert)"
+_WHOLE, _PART = re.compile(_WORDS, re.I), re.compile(rf"(?:^|[_-]){_WORDS}(?:$|[_-])", re.I)
+# classes that say how a page is laid out, not what a branch is, and those of headings
+_LAYOUT = re.compile(r"(?:^|[_-])(?:no|has|with|without)[_-]|(?:^|[_-])(?:entry|post|article|content|story)[_-]+header$", re.I)
+_HEADING = re.compile(r"(?:^|[_-])(?:header|masthead)$", re.I)
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
 _NAME = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 
+def _named(attributes: str) -> str:
+    """The class, id and role of an element."""
+    return " ".join(filter(None, (x for m in _NAME.finditer(attributes) for x in m.groups()[1:]))) if attributes else ""
+
+
+def _said(element: str, named: str, main: bool) -> int:
+    """Whether element and names say that a branch is outside the main text: 0 no, 1 part of a name or a form does, 2 they do."""
+    said = (1 if element == "form" else 2) if element in _ASIDE or (element == "header" and not main) else 0
+    for name in named.split() if element not in ("html", "body") else ():
+        if _LAYOUT.search(name) or (main and _HEADING.search(name)):
+            continue
+        said = max(said, 2 if _WHOLE.fullmatch(name) else 1 if _PART.search(name) else 0)
+    return said
+
+
 class Page:
-    """The blocks of a page: chains of elements and texts, and what each chain's children are."""
+    """The blocks of a page: chains of elements (with # in the main text) and texts, and what each chain's children are."""
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[str, str]] = []
         self.children: dict[str, list[str]] = {}
-        self._stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # element, chain, noise, in main text
+        self._found: list[tuple[str, str, tuple[int, ...]]] = []  # chain, text, marks
+        self._said: list[int] = []  # of each mark, a branch that its element or class rules out
+        self._in_main: set[int] = set()  # marks around an article's text
+        self._article = False
+        # element, chain, never text, marks, how many marks the article is in (-1: no article)
+        self._stack: list[tuple[str, str, bool, tuple[int, ...], int]] = [("", "", False, (), -1)]
         self._text: list[str] = []
         self._parse(source)
+        self.blocks: list[tuple[str, str]] = self._unmarked()
+
+    def _unmarked(self) -> list[tuple[str, str]]:
+        """The blocks outside the marked branches; a mark does not count where the branch wraps the main text."""
+        if not self._said:
+            return [(chain, text) for chain, text, _ in self._found]
+        size = [0] * len(self._said)
+        for _, text, marks in self._found:
+            for i in marks:
+                size[i] += len(text)
+        most = WRAPS * sum(len(text) for _, text, _ in self._found)
+        out = {i for i, said in enumerate(self._said) if (i in self._in_main) + (size[i] > most) < said}
+        kept = [(chain, text) for chain, text, marks in self._found if out.isdisjoint(marks)]
+        if not kept and not self._article:
+            out = {i for i in out if size[i] <= most}
+            kept = [(chain, text) for chain, text, marks in self._found if out.isdisjoint(marks)]
+        return kept
 
     def _flush(self) -> None:
         if self._text:
-            _, chain, noise, main = self._stack[-1]
-            if not noise:
+            _, chain, never, marks, main = self._stack[-1]
+            if not never:
                 text = " ".join(html.unescape("".join(self._text)).split())
                 if text:
-                    self.blocks.append((chain + ("#" if main else ""), text))
+                    self._found.append((chain + ("#" if main >= 0 else ""), text, marks))
+                    if main == len(marks):
+                        self._in_main.update(marks)
             self._text = []
 
     def _open(self, name: str, attributes: str) -> None:
-        _, chain, noise, main = self._stack[-1]
-        named = " ".join(filter(None, (x for m in _NAME.finditer(attributes) for x in m.groups()[1:]))) if attributes else ""
-        block = name in _BLOCK
-        main = main or name in _MAIN
-        noise = noise or name in _NOISE or (name == "header" and not main) or bool(named and name not in ("html", "body") and _NAMED.search(named))
-        if block:
+        _, chain, never, marks, main = self._stack[-1]
+        named = _named(attributes)
+        said = 0 if never else _said(name, named, main >= 0)
+        never = never or name in _NEVER
+        if said or name in _NEVER:
+            self._flush()
+        if name in _MAIN and main < 0 and said < 2:
+            main = len(marks)
+            self._article |= not marks and not said and not never
+        if said and name not in _VOID:
+            marks = (*marks, len(self._said))
+            self._said.append(said)
+        if name in _BLOCK:
             step = name + ("." + re.sub(r"\d+", "0", named).replace("/", "_") if named else "")
             self.children.setdefault(chain, []).append(step)
             chain = f"{chain}/{step}"
         if name not in _VOID:
-            self._stack.append((name, chain, noise, main))
+            self._stack.append((name, chain, never, marks, main))
 
     def _close(self, name: str) -> None:
         for i in range(len(self._stack) - 1, 0, -1):
             if self._stack[i][0] == name:
+                if self._stack[-1][2:4] != self._stack[i - 1][2:4]:
+                    self._flush()
                 del self._stack[i:]
                 return
 
@@ -103,13 +156,6 @@ class Page:
                     self._close("p")
                 if name in ("li", "dt", "dd", "option", "tr", "td", "th"):
                     self._end_open(name)
-            if (self._stack[-1][2] or name in _NOISE) is False and name not in _BLOCK:
-                if m[3] and name not in _VOID:
-                    noisy = bool((n := " ".join(filter(None, (x for a in _NAME.finditer(m[3]) for x in a.groups()[1:])))) and _NAMED.search(n))
-                    if noisy:
-                        self._flush()
-            elif name in _NOISE:
-                self._flush()
             self._open(name, m[3])
         self._text.append(source[at:])
         self._flush()
@@ -169,7 +215,8 @@ def extract_text(pages: DataFrame) -> DataFrame:
     """Per page: page_id, url, text (empty if none), n_chars.
 
     The text is the blocks of all branches that are neither of low importance on their host nor named as something
-    else by element or class; an article raises the importance of its branches. A null html is empty, a null URL has the empty host; repeated rows each get a row and count each.
+    else by element or class; an article raises the importance of its branches, and a name does not count where its
+    branch wraps the article or nearly all of the page. A null html is empty, a null URL has the empty host; repeated rows each get a row and count each.
     """
     rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host_of(F.col("url")).alias("host"))
     low = settled(low_branches(rows))

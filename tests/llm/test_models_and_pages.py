@@ -61,6 +61,17 @@ def test_html_repeated_branches_of_an_article_go(spark):
     assert {r["page_id"]: r["text"] for r in got.collect()} == want
 
 
+def test_html_names_leave_wrappers_and_headings():
+    article = "<article><h1>Title</h1><p>Main text of the page</p></article>"
+    for wrapper in ("div class='content no-sidebar'", "div class='layout has-sidebar'", "div class='article page-with-comments'", "div class=menu-open", "form id=form1"):
+        assert html_text.Page(f"<{wrapper}>{article}<div class=sidebar>other</div></{wrapper.split()[0]}>").text() == "Title\nMain text of the page"
+    assert html_text.Page("<article><div class=entry-header><h1>Title</h1></div><p>Main text</p></article>").text() == "Title\nMain text"
+    assert html_text.Page("<div><p>Main text of the page</p></div><article class=comment><p>first!</p></article>").text() == "Main text of the page"
+    assert html_text.Page("<div class=menu-open><p>All of the text</p></div>").text() == "All of the text"
+    assert html_text.Page("<div class=ad>only an advert</div><article></article>").text() == ""
+    assert html_text.Page("<p>one <span class=ad>buy</span> two</p>").text() == "one\ntwo"
+
+
 def test_html_on_the_pages(spark):
     import html
 
