@@ -68,10 +68,11 @@ def token_dictionary(messages: DataFrame, known: DataFrame | None = None) -> Dat
 
 
 def with_token_ids(dictionary: DataFrame) -> DataFrame:
-    """The dictionary with tkn_id: hosts from 256, all other tokens from 2,000,001, by text."""
+    """The dictionary with tkn_id: hosts from 256, all other tokens from 2,000,001 or after the last host, by text."""
     host = X.has_mask(F.col("type_mask"), "HOSTNAME")
     hosts = numbered(dictionary.where(host), ["tkn_text"], T.FIRST_HOST_ID, "tkn_id")
-    return hosts.unionByName(numbered(dictionary.where(~host), ["tkn_text"], T.FIRST_TOKEN_ID, "tkn_id"))
+    last = hosts.agg(F.max("tkn_id")).first()[0] or 0
+    return hosts.unionByName(numbered(dictionary.where(~host), ["tkn_text"], max(T.FIRST_TOKEN_ID, last + 1), "tkn_id"))
 
 
 def typed(messages: DataFrame, words: Iterable[str] | None = None, dictionary: DataFrame | None = None) -> DataFrame:

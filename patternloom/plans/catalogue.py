@@ -140,7 +140,8 @@ def comp_query(spark, sf_dir):
 
 @query("SELECT host AS tkn_text, 255 + row_number() OVER (ORDER BY host) AS tkn_id FROM (SELECT DISTINCT host FROM msg)")
 def host_ids(spark, sf_dir):
-    return patterns.with_token_ids(token_dictionary(spark, sf_dir)).where(F.col("tkn_id") < 2_000_001).select("tkn_text", "tkn_id")
+    ids = patterns.with_token_ids(token_dictionary(spark, sf_dir))
+    return ids.where(X.has_mask(F.col("type_mask"), "HOSTNAME")).select("tkn_text", "tkn_id")
 
 
 @query("SELECT 256 AS comp_id_min, 255 + count(DISTINCT host) AS comp_id_max FROM msg")

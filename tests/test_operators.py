@@ -86,6 +86,17 @@ def test_ids_are_dense(spark, log):
     assert other == list(range(2_000_001, 2_000_001 + len(other)))
 
 
+def test_ids_beyond_the_host_range(spark, log, monkeypatch):
+    import __spark_entry__
+    from patternloom.plans import catalogue
+
+    monkeypatch.setattr(patterns.T, "FIRST_HOST_ID", 2_000_001 - 2)  # room for two hosts
+    ids = patterns.with_token_ids(patterns.token_dictionary(log)).collect()
+    assert sorted(r["tkn_id"] for r in ids) == list(range(1_999_999, 1_999_999 + len(ids)))
+    monkeypatch.setattr(catalogue, "token_dictionary", lambda s, d: patterns.token_dictionary(log))
+    assert sorted(r["tkn_id"] for r in __spark_entry__.queries()["host_ids"](spark, "").collect()) == list(range(1_999_999, 2_000_003))
+
+
 def test_attributes(spark):
     kind = "ptn_id long, attr_type string, attr_value string"
     tags, types = spark.createDataFrame([(1, "a", "x"), (1, "a", "y"), (2, "a", "x")], kind), spark.createDataFrame([("a",)], "attr_type string")
