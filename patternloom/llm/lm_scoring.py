@@ -1,8 +1,9 @@
 """Operator 10: language-model scores by a hidden Markov model.
 
-Words are counted over the training documents. The most frequent are symbols of their own, the
-others are grouped by their endings; a word's share of its group follows its count, with a
-Good-Turing share for words never seen. Baum-Welch sums expected counts per partition; scoring runs
+Words are counted over the training documents. Each that is seen twice is a symbol of its own, the
+others are grouped by their endings, with a Good-Turing share for words never seen. Emissions of the most
+frequent symbols go to every task, those of the others are a table that is joined in each round.
+Baum-Welch sums expected counts per partition and then by symbol; scoring runs
 the scaled forward recursion over each whole text, so a score is the exact log likelihood.
 """
 
@@ -20,12 +21,12 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_words, settled, slices, strings
+from .common import ascii_words, settled, slices, stored, strings
 
 SLICE_CHARS = 6_000_000
-#: Words that are symbols, groups of endings of the others, words whose counts go to every task
-#: (counts of rarer ones are joined), tokens of a training window, tokens that are worked on at a time.
-SYMBOLS, ENDINGS, HEAD, WINDOW, BATCH = 32_000, 1_024, 1 << 19, 512, 400_000
+#: Words whose emissions and whose counts may go to every task (those of rarer ones are joined), groups of endings
+#: of the words seen once, tokens of a training window, tokens that are worked on at a time.
+SYMBOLS, ENDINGS, HEAD, WINDOW, BATCH = 1 << 19, 1_024, 1 << 19, 512, 400_000
 #: Part of a state's distribution that follows the corpus instead of the state.
 BACKOFF = 0.02
 
@@ -43,6 +44,13 @@ class Vocabulary:
     group_tokens: np.ndarray
     group_once: np.ndarray
     symbol_tokens: np.ndarray
+    tail_words: int  # symbols that are joined, and their tokens
+    tail_tokens: int
+
+    @property
+    def weight(self) -> float:
+        """The tokens of all symbols, half a one added to each."""
+        return float((self.symbol_tokens + 0.5).sum() + self.tail_tokens + 0.5 * self.tail_words)
 
     def base(self, count: np.ndarray) -> np.ndarray:
         return np.log10((count + 0.5) / (self.tokens + 0.5 * (self.types + 1)))
@@ -108,20 +116,20 @@ def _least_count(counts: DataFrame, most: int) -> int:
 
 def vocabulary(counts: DataFrame, documents: int) -> Vocabulary:
     total = counts.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
-    head_from = _least_count(counts, HEAD)
-    symbols_from = max(2, _least_count(counts, SYMBOLS))  # words seen once stand for those never seen
+    head_from = _least_count(counts, min(HEAD, SYMBOLS))
     head = counts.where(F.col("c") >= head_from).toArrow()
     hashes, c = np.asarray(head["h"]).astype(np.int64), np.asarray(head["c"]).astype(np.int64)
     order = np.argsort(hashes)
     hashes, c = hashes[order], c[order]
-    own = c >= symbols_from
+    own = c >= 2  # words seen once stand for those never seen
     symbols = np.where(own, np.cumsum(own) - 1, -1).astype(np.int32)
-    groups = counts.where(F.col("c") < symbols_from).groupBy("ending").agg(F.sum("c").alias("c"), F.count_if(F.col("c") == 1).alias("once")).collect()
+    groups = counts.where(F.col("c") < 2).groupBy("ending").agg(F.sum("c").alias("c"), F.count_if(F.col("c") == 1).alias("once")).collect()
     group_tokens, once = np.zeros(ENDINGS), np.zeros(ENDINGS)
     for r in groups:
         group_tokens[r["ending"]], once[r["ending"]] = r["c"], r["once"]
     tokens = np.concatenate([c[own], group_tokens, [documents]]).astype(float)
-    return Vocabulary(hashes, c, symbols, int(total[1]) + documents, int(total[0]) + (documents > 0), documents, group_tokens, once, tokens)
+    tail = counts.where((F.col("c") >= 2) & (F.col("c") < (int(c.min()) if len(c) else 1 << 62))).agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
+    return Vocabulary(hashes, c, symbols, int(total[1]) + documents, int(total[0]) + (documents > 0), documents, group_tokens, once, tokens, int(tail[0]), int(tail[1]))
 
 
 def _read(docs: DataFrame, shared: Broadcast) -> DataFrame:
@@ -157,12 +165,13 @@ def _read(docs: DataFrame, shared: Broadcast) -> DataFrame:
                 base = np.bincount(row, weights=np.where(found, v.base(count), 0.0)[codes], minlength=n).astype(float) + v.base(np.array([v.ends]))
                 known = np.bincount(row, weights=found[codes], minlength=n).astype(np.int64) + (v.ends > 0)
                 shares = np.bincount(row, weights=share[codes], minlength=n).astype(float)
-                structs = pa.StructArray.from_arrays([pa.array(h[codes[rare]]), pa.array(correction[group[codes[rare]]])], ["h", "unseen"])
+                place = (np.flatnonzero(inner) - (ends - tokens - 1)[row])[rare].astype(np.int32)
+                structs = pa.StructArray.from_arrays([pa.array(h[codes[rare]]), pa.array(correction[group[codes[rare]]]), pa.array(known_share[group[codes[rare]]]), pa.array(place)], ["h", "unseen", "known", "place"])
                 columns = [batch.column(0).slice(low, n), batch.column(1).slice(low, n), pa.array(tokens + 1), pa.array(known), pa.array(base), pa.array(shares)]
                 columns += [pa.array([raw[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.binary()), pa.ListArray.from_arrays(pa.array(lists), structs)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "known", "base", "share", "symbols", "rare"])
 
-    return docs.select("doc_id", "held_out", "text").mapInArrow(rows, "doc_id long, held_out boolean, n_tokens long, known long, base double, share double, symbols binary, rare array<struct<h:long,unseen:double>>")
+    return docs.select("doc_id", "held_out", "text").mapInArrow(rows, "doc_id long, held_out boolean, n_tokens long, known long, base double, share double, symbols binary, rare array<struct<h:long,unseen:double,known:double,place:int>>")
 
 
 def _time_major(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -234,40 +243,93 @@ def _grouped(sequences: Iterator[np.ndarray]) -> Iterator[list[np.ndarray]]:
         yield group
 
 
-def train(read: DataFrame, v: Vocabulary, states: int = 6, rounds: int = 5, seed: int = 5) -> Hmm:
-    """Baum-Welch over all training documents, in windows of ``WINDOW`` tokens that together hold every token."""
+TAIL = "tail array<struct<h:long,c:long,places:array<int>,emits:array<double>>>"
+
+
+def _with_tail(model: Hmm, batch: pa.RecordBatch) -> tuple[Hmm, list[np.ndarray], np.ndarray, np.ndarray]:
+    """The model with the batch's joined symbols added, the batch's sequences in them, and the added symbols' hashes and counts."""
+    parts = [np.frombuffer(x, np.int32) for x in batch.column("symbols").to_pylist()]
+    added: dict[int, int] = {}
+    emits, counts = [], []
+    for i, tail in enumerate(batch.column("tail").to_pylist()):
+        if tail:
+            parts[i] = parts[i].copy()
+            for word in tail:
+                if word["h"] not in added:
+                    added[word["h"]] = len(model.emits) + len(added)
+                    emits.append(word["emits"])
+                    counts.append(word["c"])
+                parts[i][word["places"]] = added[word["h"]]
+    if added:
+        model = replace(model, emits=np.concatenate([model.emits, np.array(emits)]))
+    return model, parts, np.fromiter(added, np.int64, len(added)), np.array(counts, np.int64)
+
+
+def _joined(rows: DataFrame, tail: DataFrame | None, table: DataFrame | None) -> DataFrame:
+    """``rows`` with the emissions of their joined symbols: ``tail(uid, h, c, places)``, ``table(h, emits)``."""
+    if tail is None:
+        return rows.withColumn("tail", F.lit(None).cast(TAIL.removeprefix("tail ")))
+    known = tail.join(table, "h").groupBy("uid").agg(F.collect_list(F.struct("h", "c", "places", "emits")).alias("tail"))
+    return rows.join(known, "uid", "left")
+
+
+def train(read: DataFrame, v: Vocabulary, tail: DataFrame | None, states: int = 6, rounds: int = 5, seed: int = 5) -> tuple[Hmm, DataFrame | None]:
+    """Baum-Welch over all training documents, in windows of ``WINDOW`` tokens that together hold every token.
+
+    ``tail(uid, h, c, places)`` are the tokens of joined symbols. Beside the model comes those symbols' ``h, emits``.
+    """
     sc = read.sparkSession.sparkContext
-    corpus = (v.symbol_tokens + 0.5) / (v.symbol_tokens + 0.5).sum()
+    corpus = (v.symbol_tokens + 0.5) / v.weight
     random = np.random.default_rng(seed)
     emits = corpus[:, None] * np.exp(random.normal(scale=0.6, size=(len(corpus), states)))
-    model = Hmm(np.full(states, 1 / states), np.full((states, states), 0.02 / (states - 1)) + np.eye(states) * (0.98 - 0.02 / (states - 1)), emits / emits.sum(0))
-    rows = read.where("not held_out").select("symbols")
+    model = Hmm(np.full(states, 1 / states), np.full((states, states), 0.02 / (states - 1)) + np.eye(states) * (0.98 - 0.02 / (states - 1)), emits / emits.sum(0) * corpus.sum())
+    rows = read.where("not held_out").select("uid", "symbols")
+    share = (F.col("c") + 0.5) / v.weight
+    table = None if tail is None else tail.groupBy("h").agg(F.first("c").alias("c")).select("h", F.array(*[share] * states).alias("emits"))
+    learning = None if tail is None else tail.join(rows.select("uid"), "uid", "left_semi")
+    names = [f"s{s}" for s in range(states)]
     for _ in range(rounds):
         shared = sc.broadcast(model)
 
         def partial(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
             now: Hmm = shared.value
             starts, moves, emitted = np.zeros(states), np.zeros((states, states)), np.zeros_like(now.emits)
-            windows = (s[i : i + WINDOW] for b in batches for x in b.column(0).to_pylist() for s in [np.frombuffer(x, np.int32)] for i in range(0, len(s), WINDOW))
-            for group in _grouped(windows):
-                a, b, c = expected_counts(now, group)
-                starts += a
-                moves += b
-                emitted += c
+            for batch in batches:
+                model, parts, words, counts = _with_tail(now, batch)
+                more = np.zeros((len(words), states))
+                for group in _grouped(s[i : i + WINDOW] for s in parts for i in range(0, len(s), WINDOW)):
+                    a, b, c = expected_counts(model, group)
+                    starts += a
+                    moves += b
+                    emitted += c[: len(emitted)]
+                    more += c[len(emitted) :]
+                if len(words):
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(words), pa.int32()), pa.array(words), pa.array(counts), *(pa.array(more[:, s].astype(np.float32)) for s in range(states))], ["key", "h", "c", *names])
             full = np.flatnonzero(emitted.any(1))
-            table = np.concatenate([emitted[full], moves, starts[None]])
+            sums = np.concatenate([emitted[full], moves, starts[None]])
             keys = np.concatenate([full, len(emitted) + np.arange(states + 1)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(table[:, s]) for s in range(states))], ["key", *(f"s{s}" for s in range(states))])
-
-        sums = rows.mapInArrow(partial, "key int, " + ", ".join(f"s{s} double" for s in range(states))).groupBy("key").agg(*(F.sum(f"s{s}").alias(f"s{s}") for s in range(states))).toArrow()
-        table = np.zeros((len(corpus) + states + 1, states))
-        table[np.asarray(sums["key"])] = np.stack([np.asarray(sums[f"s{s}"]) for s in range(states)], 1)
-        emitted, moves, starts = table[: len(corpus)], table[len(corpus) : -1] + 0.1, table[-1] + 0.1
-        of_state = np.maximum(emitted.sum(0), 1e-9)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.nulls(len(keys), pa.int64()), pa.nulls(len(keys), pa.int64()), *(pa.array(sums[:, s].astype(np.float32)) for s in range(states))], ["key", "h", "c", *names])
+
+        found = _joined(rows, learning, table).select("symbols", "tail").mapInArrow(partial, "key int, h long, c long, " + ", ".join(f"{s} float" for s in names))
+        found = found.groupBy("key", "h").agg(F.max("c").alias("c"), *(F.sum(s).alias(s) for s in names))
+        if tail is not None:
+            found = stored(found)
+        sums = found.where("key is not null").select("key", *names).toArrow()
+        dense = np.zeros((len(corpus) + states + 1, states))
+        dense[np.asarray(sums["key"])] = np.stack([np.asarray(sums[s]) for s in names], 1)
+        emitted, moves, starts = dense[: len(corpus)], dense[len(corpus) : -1] + 0.1, dense[-1] + 0.1
+        of_state = emitted.sum(0)
+        if tail is not None:
+            of_state = of_state + np.array([x or 0.0 for x in found.where("key is null").agg(*(F.sum(s) for s in names)).first()])
+        of_state = np.maximum(of_state, 1e-9)
         model = replace(model, start=starts / starts.sum(), moves=moves / moves.sum(1, keepdims=True), emits=(1 - BACKOFF) * emitted / of_state + BACKOFF * corpus[:, None])
-        model = replace(model, emits=model.emits / model.emits.sum(0))
+        if tail is not None:
+            learned = F.array(*((1 - BACKOFF) / float(of_state[i]) * F.col(s) + BACKOFF * share for i, s in enumerate(names)))
+            table = found.where("key is null").select("h", learned.alias("emits"))
         shared.unpersist()
-    return model
+        if tail is not None:
+            sc._jvm.System.gc()  # the shuffle files of rounds that are done go
+    return model, table
 
 
 def lm_scores(docs: DataFrame, states: int = 6, rounds: int = 5) -> DataFrame:
@@ -284,22 +346,29 @@ def lm_scores(docs: DataFrame, states: int = 6, rounds: int = 5) -> DataFrame:
     counts = settled(word_counts(learned))
     v = vocabulary(counts, learned.count())
     read = settled(_read(texts, sc.broadcast(v)).withColumn("uid", F.monotonically_increasing_id()))
+    rare = read.select("uid", F.explode("rare").alias("w")).select("uid", "w.*").groupBy("uid", "h").agg(F.count("*").alias("n"), F.first("unseen").alias("unseen"), F.first("known").alias("known"), F.collect_list("place").alias("places"))
+    below = counts.where(F.col("c") < _floor(v)).select("h", "c")
+    divisor = float(v.tokens + 0.5 * (v.types + 1))
+    joined = rare.join(below, "h", "left").withColumn("c0", F.coalesce("c", F.lit(0)))
+    tail = None
+    if v.tail_words:
+        joined = stored(joined)
+        tail = joined.where("c0 >= 2").select("uid", "h", "c", "places")
     if v.tokens:
-        shared = sc.broadcast(train(read, v, states, rounds))
+        model, table = train(read, v, tail, states, rounds)
+        shared = sc.broadcast(model)
 
         def forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                logs = log10_likelihoods(shared.value, [np.frombuffer(x, np.int32) for x in batch.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*batch.columns[2:], batch.column(0), pa.array(logs)], ["doc_id", "held_out", "n_tokens", "known", "base", "share", "uid", "log"])
+                now, parts, _, _ = _with_tail(shared.value, batch)
+                yield pa.RecordBatch.from_arrays([*batch.columns[2:8], batch.column("uid"), pa.array(log10_likelihoods(now, parts))], ["doc_id", "held_out", "n_tokens", "known", "base", "share", "uid", "log"])
 
-        scored = read.select("uid", "symbols", "doc_id", "held_out", "n_tokens", "known", "base", "share").mapInArrow(forward, "doc_id long, held_out boolean, n_tokens long, known long, base double, share double, uid long, log double")
+        rows = _joined(read.select("uid", "symbols", "doc_id", "held_out", "n_tokens", "known", "base", "share"), tail, table)
+        scored = rows.select("uid", "symbols", "doc_id", "held_out", "n_tokens", "known", "base", "share", "tail").mapInArrow(forward, "doc_id long, held_out boolean, n_tokens long, known long, base double, share double, uid long, log double")
     else:
         scored = read.select("doc_id", "held_out", "n_tokens", "known", "base", "share", "uid", F.lit(0.0).alias("log"))
-    rare = read.select("uid", F.explode("rare").alias("w")).select("uid", "w.h", "w.unseen").groupBy("uid", "h").agg(F.count("*").alias("n"), F.first("unseen").alias("unseen"))
-    below = counts.where(F.col("c") < _floor(v)).select("h", "c")
-    divisor = float(v.tokens + 0.5 * (v.types + 1))
-    joined = rare.join(below, "h", "left").withColumn("c0", F.coalesce("c", F.lit(0)))
-    more = joined.groupBy("uid").agg(F.sum(F.when(F.col("c0") > 0, F.col("n")).otherwise(0)).alias("more_known"), F.sum(F.col("n") * F.log10((F.col("c0") + 0.5) / divisor)).alias("more_base"), F.sum(F.col("n") * F.when(F.col("c0") > 0, F.log10(F.col("c0"))).otherwise(F.col("unseen"))).alias("more_share"))
+    share = F.when(F.col("c0") > 1, -F.col("known")).when(F.col("c0") > 0, 0.0).otherwise(F.col("unseen"))
+    more = joined.groupBy("uid").agg(F.sum(F.when(F.col("c0") > 0, F.col("n")).otherwise(0)).alias("more_known"), F.sum(F.col("n") * F.log10((F.col("c0") + 0.5) / divisor)).alias("more_base"), F.sum(F.col("n") * share).alias("more_share"))
     out = scored.join(more, "uid", "left")
     base = F.col("base") + F.coalesce("more_base", F.lit(0.0))
     score = F.col("log") + F.col("share") + F.coalesce("more_share", F.lit(0.0)) if v.tokens else base

@@ -140,6 +140,25 @@ def test_lm_scores(spark, monkeypatch, head):
         assert sum(g["score"] for g in held) > sum(g["base_score"] for g in held)
 
 
+def test_lm_emissions_of_all_words(spark, monkeypatch):
+    texts = ["aa xone aa xone", "bb yone bb yone", "aa xtwo aa xtwo", "bb ytwo bb ytwo"] * 8
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    score = lambda: {r["doc_id"]: r["score"] for r in lm_scoring.lm_scores(docs, states=2, rounds=1).collect()}
+    want = score()
+    monkeypatch.setattr(lm_scoring, "SYMBOLS", 0)  # all emissions are joined
+    found, read, train = {}, {}, lm_scoring.train
+
+    def kept(*args):
+        read["model"], read["table"] = train(*args)
+        found.update({r["h"]: r["emits"] for r in read["table"].collect()})
+        return read["model"], read["table"]
+
+    monkeypatch.setattr(lm_scoring, "train", kept)
+    got = score()
+    assert len(found) == 6 and np.allclose(np.array(list(found.values())).sum(0) + read["model"].emits.sum(0), 1)
+    assert got.keys() == want.keys() and all(math.isfinite(x) and abs(x - want[i]) < 2 for i, x in got.items())
+
+
 def test_lm_corner_cases(spark):
     assert lm_scoring.lm_scores(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     only_held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 5 == 1)
