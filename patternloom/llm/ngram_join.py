@@ -1,38 +1,41 @@
 """Operator 6: self-join of documents by the Jaccard similarity of their word n-gram sets.
 
-The global order of n-grams is that of a 64-bit hash. It is cut into fragments (vertical
-partitioning). Two sets as alike as the threshold asks differ in at most D n-grams, so of more than
-D fragments at least one is the same in both; a key per fragment finds such pairs, and no others
-need a look. For each pair the overlaps are counted fragment by fragment and summed.
+All n-grams stand in one global order: rare ones first, of equally rare ones by hash. The order of hashes is cut
+into fragments (vertical partitioning), and the n-grams of each fragment are counted apart. Two similar sets
+share an n-gram among the first few of each in the global order, so those, if they occur elsewhere, are the keys that
+find candidate pairs. A pair's overlap is then counted fragment by fragment, a row each, and summed per pair.
 
-Equal sets count as one node. A group of sets that share a fragment is first compared with its
-least set only, and in full only where its sets are still in different components.
+Equal sets count as one node. Of a group of sets that share a key each is first compared with the
+least one only; across components that this leaves apart every pair of a group is compared.
 """
 
 from __future__ import annotations
 
-import functools
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from .common import ascii_words, bitmap, in_bitmap, slices, stored, strings
+from .common import bitmap, in_bitmap, slices, stored, strings
 from .components import components
 
-SLICE_CHARS = 6_000_000
-#: Sets that share a fragment: up to so many are compared as pairs of rows; more are compared as
-#: blocks of so many against each other inside a task, which emits only links that span them.
-PAIRED, BLOCK = 48, 512
-#: Fragments in which overlaps are counted; cuts of a set that leave too many fragments empty.
-COUNTED, CUTS = 8, 6
+SLICE_CHARS = 1_500_000
+#: Sets that share a key: up to so many are compared as pairs of rows; more are compared as blocks of so
+#: many sets or n-grams against each other inside a task, which emits only links that span them.
+PAIRED, BLOCK, BLOCK_GRAMS = 48, 512, 250_000
+#: Fragments in which a pair's overlap is counted.
+COUNTED = 8
+#: n-grams of a fragment of the order when they are counted; how often those of each level occur at least; bits of
+#: the levels' filters for an n-gram, and in all: the levels of rarer n-grams are left out where they need more.
+COUNTED_GRAMS, LEVELS, LEVEL_BITS, MOST_BITS = 1 << 21, tuple(2**i for i in (1, 2, 3, 4, 6, 8, 10, 12, 14, 16, 20, 24, 28, 32)), 8, 1 << 27
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -44,221 +47,273 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
-    """The sorted distinct hashes of every text's word n-grams; of all its words, if it has fewer."""
-    rows, words = ascii_words(texts, lower=True)
-    coded = words.dictionary_encode()
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))[np.asarray(coded.indices)]
-    counts = np.bincount(rows, minlength=len(texts))
-    ends = np.cumsum(counts)
-    rolled = np.zeros(max(0, len(hashes) - n + 1), np.uint64)
+_BYTE = mixed(np.arange(256, dtype=np.uint64))
+_BYTE[65:91] = _BYTE[97:123]  # A-Z count as a-z
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_RADIX, _INVERSE = np.uint64(0xD6E8FEB86659FD93), np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, base)]))
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words ``[^\\x20\\x09-\\x0D]+`` end to end, A-Z read as a-z, and how many each text has."""
+    n = len(texts)
+    offsets = np.frombuffer(texts.buffers()[1], np.int32, n + 1, texts.offset * 4).astype(np.int64) if n else np.zeros(1, np.int64)
+    size = int(offsets[-1] - offsets[0])
+    flat = np.frombuffer(texts.buffers()[2], np.uint8, size, int(offsets[0])) if size else np.zeros(0, np.uint8)
+    offsets = offsets - offsets[0]
+    word, edge = ~_BLANK[flat], np.zeros(size + 1, bool)
+    edge[offsets] = True  # where a text begins or ends
+    starts = np.flatnonzero(word & (edge[:-1] | ~np.append(True, word[:-1])[:size]))
+    ends = np.flatnonzero(word & (edge[1:] | ~np.append(word[1:], True)[:size])) + 1
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[flat] * _powers(_RADIX, size)[:size])])
+    hashes = mixed((sums[ends] - sums[starts]) * _powers(_INVERSE, size)[starts] + (ends - starts).astype(np.uint64))
+    return hashes, np.diff(np.searchsorted(starts, offsets))
+
+
+def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct hashes of every text's word n-grams, end to end, and their numbers; of all its words, if it has fewer."""
+    words, counts = word_hashes(texts)
+    rolled = np.zeros(max(0, len(words) - n + 1), np.uint64)
     for i in range(n):
-        rolled = mixed(rolled) + hashes[i : len(hashes) - n + 1 + i]
+        rolled = mixed(rolled) + words[i : len(words) - n + 1 + i]
     rolled = mixed(rolled)
-    out = []
-    for end, count in zip(ends.tolist(), counts.tolist(), strict=True):
+    grams = np.where(counts >= n, counts - n + 1, np.minimum(counts, 1))
+    ends, to = np.cumsum(counts), np.cumsum(grams)
+    flat = np.empty(int(to[-1]) if len(to) else 0, np.uint64)
+    for end, count, b, g in zip(ends.tolist(), counts.tolist(), to.tolist(), grams.tolist(), strict=True):
         if count >= n:
-            out.append(np.unique(rolled[end - count : end - n + 1]))
+            flat[b - g : b] = np.sort(rolled[end - count : end - n + 1])
         elif count:
             short = np.full(1, count, np.uint64)
-            for h in hashes[end - count : end]:
+            for h in words[end - count : end]:
                 short = mixed(short) + h
-            out.append(mixed(short + _C))
-        else:
-            out.append(np.zeros(0, np.uint64))
-    return out
+            flat[b - 1] = mixed(short + _C)[0]
+    new = np.append(True, flat[1:] != flat[:-1])[: len(flat)]
+    new[(to - grams)[grams > 0]] = True
+    before = np.concatenate([[0], np.cumsum(new)])
+    return flat[new], before[to] - before[to - grams]
 
 
-def size_class(size: int, threshold: float) -> int:
-    """Classes are so wide that sizes of similar sets lie in one class or in neighbours."""
-    return math.floor(math.log(size) / -math.log(threshold) + 1e-9)
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers below 2^32, their first bytes together and so on, which a shuffle packs well."""
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
-@functools.cache
-def class_fragments(c: int, threshold: float) -> tuple[int, int]:
-    """Fragments for the sets of a class and the one below, and how many of them a set may have empty.
+def _unplanes(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
 
-    Two similar sets differ in D n-grams at most, so with D + 1 + e fragments 1 + e are the same in both, and one
-    of these isn't empty unless a set has more than e empty ones. No fragments: only equal sets are similar.
-    """
-    largest = math.ceil(threshold ** -(c + 1))
-    differ = math.floor(2 * largest * (1 - threshold) / (1 + threshold) + 1e-9)
-    empty = (differ + 1) * math.exp(-largest * threshold**1.6 / (differ + 1))
-    spare = math.ceil(empty + 3 * math.sqrt(empty)) if differ >= 8 and empty >= 0.05 else 0
-    return (differ + 1 + spare if differ else 0), spare
 
+@dataclass(frozen=True)
+class Order:
+    """How rare an n-gram is, by its hash: Bloom filters of the n-grams of each level, a segment per fragment.
 
-def _cut(hashes: np.ndarray, fragments: int) -> np.ndarray:
-    return ((hashes >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32)
-
-
-def fragment_keys(hashes: np.ndarray, threshold: float) -> np.ndarray:
-    """Keys of which two sets (sorted distinct hashes) share one at least if they are similar.
-
-    A set with more empty fragments than its class may have is cut again by another hash, up to ``CUTS``
-    times: of two similar sets either one has few empty fragments in a cut, or both go on to the next.
-    In the last cut empty fragments are keys too.
+    Any function of the hash makes an order that finds all pairs; counts of fewer bits than the hash has and filters that
+    err only change which keys a set has.
     """
-    keys = []
-    for c in (size_class(len(hashes), threshold), size_class(len(hashes), threshold) + 1) if len(hashes) else ():
-        fragments, spare = class_fragments(c, threshold)
-        if not fragments:
-            continue
-        places = mixed(np.arange(fragments, dtype=np.uint64) + (np.uint64(c) << np.uint64(32)))
-        now = hashes
-        for cut in range(CUTS):
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(now))])
-            bounds = np.searchsorted(_cut(now, fragments), np.arange(fragments + 1, dtype=np.uint64))
-            seg, full = sums[bounds[1:]] - sums[bounds[:-1]], bounds[1:] > bounds[:-1]
-            done = fragments - int(full.sum()) <= spare
-            keep = full if done or cut < CUTS - 1 else np.ones(fragments, bool)
-            keys.append(mixed(seg[keep] + places[keep] + np.uint64(cut)))
-            if done:
-                break
-            now = np.sort(mixed(now ^ _C))
-    return np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
-
 
-def _as_long(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
-
-
-def _keys(docs: DataFrame, n: int, threshold: float) -> DataFrame:
-    """The fragment keys of every document, a row each."""
+    bits: int  # of a hash that tell n-grams apart here
+    fragment_bits: int
+    levels: tuple[tuple[np.ndarray, np.ndarray, np.ndarray], ...]  # filter words; each fragment's first bit and number of bits
+    all_shared: bool  # the lowest level holds all n-grams that occur twice
+
+    @staticmethod
+    def places(value: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+        h = mixed(value.astype(np.uint64))
+        return [(((part & np.uint64(0xFFFFFFFF)) * size.astype(np.uint64)) >> np.uint64(32)).astype(np.int64) for part in (h, h >> np.uint64(32))]
+
+    def rank(self, hashes: np.ndarray) -> np.ndarray:
+        """0 for n-grams of no level, else the number of the highest."""
+        value = hashes >> np.uint64(64 - self.bits)
+        fragment = (value >> np.uint64(self.bits - self.fragment_bits)).astype(np.int64)
+        out, at = np.zeros(len(hashes), np.uint8), np.arange(len(hashes))
+        for number, (words, first, size) in enumerate(self.levels, 1):
+            f = fragment[at]
+            hit = size[f] > 0
+            for place in self.places(value[at], size[f]):
+                bit = np.minimum(first[f] + place, len(words) * 64 - 1)
+                hit &= (words[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) == 1
+            at = at[hit]
+            out[at] = number
+        return out
+
+
+def global_order(docs: DataFrame, n: int) -> Order:
+    """Counts the n-grams of all texts, each fragment of the hashes' order by itself.
+
+    A task sends a fragment's n-grams as sorted gaps, about two bytes each, with counts summed over its texts.
+    """
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()[0]
+    expected = max(1024, size // 4)
+    fragment_bits = max(0, math.ceil(math.log2(expected / COUNTED_GRAMS)))
+    bits = min(fragment_bits + 31, math.ceil(math.log2(expected)) + 6)
+    within = np.uint64(bits - fragment_bits)
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = strings(batch.column(0))
             for low, high in slices(texts, SLICE_CHARS):
-                for s in shingle_groups(shingle_sets(texts.slice(low, high - low), n)):
-                    yield pa.RecordBatch.from_arrays([_as_long(np.concatenate([fragment_keys(x, threshold) for x in s]))], ["key"])
-
-    return docs.select(F.col("text").cast("string")).mapInArrow(rows, "key long")
-
-
-def shingle_groups(sets: list[np.ndarray], most: int = 500_000) -> Iterator[list[np.ndarray]]:
-    """The sets in groups of about ``most`` n-grams."""
-    group: list[np.ndarray] = []
-    size = 0
-    for s in sets:
-        group.append(s)
-        size += len(s)
-        if size >= most:
-            yield group
-            group, size = [], 0
-    if group:
-        yield group
-
-
-def _described(docs: DataFrame, n: int, threshold: float, shared: Broadcast) -> DataFrame:
-    """doc_id, n_shingles, set_id (equal sets, equal ids; null if empty) and those of its fragment keys that may be shared."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = strings(batch.column(1))
-            for low, high in slices(texts, SLICE_CHARS):
-                sets = shingle_sets(texts.slice(low, high - low), n)
-                sizes = np.array([len(s) for s in sets], np.int64)
-                ids = np.array([mixed(np.sum(mixed(s ^ _A), keepdims=True) + np.uint64(len(s)))[0] if len(s) else 0 for s in sets], np.uint64)
-                keys = [k[in_bitmap(shared.value, k)] for k in (fragment_keys(s, threshold) for s in sets)]
-                offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-                flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(sizes), pa.array(ids.view(np.int64), mask=sizes == 0), pa.ListArray.from_arrays(pa.array(offsets), _as_long(flat))], ["doc_id", "n_shingles", "set_id", "keys"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(rows, "doc_id long, n_shingles long, set_id long, keys array<long>")
+                value = np.sort(shingle_sets(texts.slice(low, high - low), n)[0] >> np.uint64(64 - bits))
+                first = np.flatnonzero(np.append(True, value[1:] != value[:-1])[: len(value)])
+                counts, value = np.diff(np.append(first, len(value))), value[first]
+                fragment = value >> within
+                begin = np.flatnonzero(np.append(True, fragment[1:] != fragment[:-1])[: len(fragment)])
+                gaps = np.append(value[:1], value[1:] - value[:-1])
+                gaps[begin] = value[begin] & ((np.uint64(1) << within) - np.uint64(1))
+                spans = list(zip(begin.tolist(), np.append(begin[1:], len(value)).tolist(), strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(fragment[begin].astype(np.int64)), pa.array([_planes(gaps[a:b]) for a, b in spans], pa.binary()), pa.array([_planes(counts[a:b]) for a, b in spans], pa.binary())], ["fragment", "gaps", "counts"])
+
+    def levels(group: pd.DataFrame) -> pd.DataFrame:
+        value = np.concatenate([np.cumsum(_unplanes(raw)) for raw in group["gaps"]])
+        counts = np.concatenate([_unplanes(raw) for raw in group["counts"]])
+        order = np.argsort(value, kind="stable")
+        value, counts = value[order], counts[order]
+        first = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
+        value, counts = value[first] + (int(group["fragment"].iloc[0]) << int(within)), np.add.reduceat(counts, first)
+        out = []
+        for level in LEVELS:
+            found = value[counts >= level]
+            if not len(found):
+                break
+            words = np.zeros(-(-len(found) * LEVEL_BITS // 64), np.uint64)
+            for place in Order.places(found, np.array([len(words) * 64])):
+                np.bitwise_or.at(words, place >> 6, np.uint64(1) << (place & 63).astype(np.uint64))
+            out.append((int(group["fragment"].iloc[0]), level, words.tobytes()))
+        return pd.DataFrame(out, columns=["fragment", "level", "words"])
+
+    cut_up = docs.select(F.col("text").cast("string")).mapInArrow(cut, "fragment long, gaps binary, counts binary")
+    found = stored(cut_up.groupBy("fragment").applyInPandas(levels, "fragment long, level long, words binary"))
+    sizes = {r["level"]: r["bits"] for r in found.groupBy("level").agg((F.sum(F.octet_length("words")) * 8).alias("bits")).collect()}
+    chosen = [level for level in sorted(sizes) if sizes[level] <= MOST_BITS]
+    made = []
+    for level in chosen:
+        rows = found.where(F.col("level") == level).select("fragment", "words").toArrow()
+        first, size = np.zeros(1 << fragment_bits, np.int64), np.zeros(1 << fragment_bits, np.int64)
+        at = np.asarray(rows["fragment"])
+        size[at] = np.asarray(pc.binary_length(rows["words"])).astype(np.int64) * 8
+        first[at] = np.cumsum(size[at]) - size[at]
+        made.append((np.frombuffer(b"".join(rows["words"].to_pylist()), np.uint64), first, size))
+    return Order(bits, fragment_bits, tuple(made), not sizes or LEVELS[0] in chosen)
+
+
+def prefix_size(size: np.ndarray | int, percent: int) -> np.ndarray | int:
+    """So many n-grams of a set, in any global order, hold one of every similar set's as many."""
+    return size - -(-size * percent // 100) + 1
+
+
+def prefix_keys(flat: np.ndarray, sizes: np.ndarray, order: Order, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of each set's prefix that may occur elsewhere, rarest first, and their numbers."""
+    rank = order.rank(flat)
+    wanted = prefix_size(sizes, percent)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    lonely = np.bincount(row[rank == 0], minlength=len(sizes)) if order.all_shared else np.zeros(len(sizes), np.int64)
+    some = (sizes > 0) & (lonely < wanted)
+    at = np.flatnonzero(some[row])
+    at = at[np.lexsort((rank[at], row[at]))]  # a stable sort: hashes rise within a rank
+    kept = np.where(some, sizes, 0)
+    place = np.arange(len(at)) - (np.cumsum(kept) - kept)[row[at]]
+    keep = place < wanted[row[at]]
+    if order.all_shared:
+        keep &= rank[at] > 0
+    at = at[keep]
+    return flat[at], np.bincount(row[at], minlength=len(sizes))
 
 
-def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``ids(doc_id, set_id)`` names; most others are left out before the join."""
-    count = ids.count()
-    wanted = docs.sparkSession.sparkContext.broadcast(bitmap(ids.select("doc_id"), count))
+def _as_long(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
 
-    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(in_bitmap(wanted.value, np.asarray(batch.column(0)))))
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    return rows.mapInArrow(likely, "doc_id long, text string").join(ids, "doc_id").dropDuplicates(["set_id"]).select("set_id", "text")
+def _lists(flat: np.ndarray, counts: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), _as_long(flat))
 
 
-def _cut_sets(docs: DataFrame, n: int) -> DataFrame:
-    """``docs(set_id, text)`` to set_id, n and parts: the set's hashes in each fragment of the order."""
+def _described(rows_of: DataFrame, n: int, percent: int, shared: Broadcast) -> DataFrame:
+    """uid, doc_id, n_shingles, x, y (128 bits that tell sets apart; null if empty), keys, and of sets with keys parts: the set's hashes by fragment."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = strings(batch.column(1))
+            texts = strings(batch.column(2))
             for low, high in slices(texts, SLICE_CHARS):
-                ids, sets = batch.column(0).slice(low, high - low), shingle_sets(texts.slice(low, high - low), n)
-                sizes = np.array([len(s) for s in sets], np.int64)
-                bounds = np.concatenate([np.searchsorted(_cut(s, COUNTED), np.arange(1, COUNTED + 1, dtype=np.uint64)) for s in sets])
-                offsets = np.concatenate([[0], bounds + np.repeat(np.cumsum(sizes) - sizes, COUNTED)]).astype(np.int32)
-                parts = pa.ListArray.from_arrays(pa.array(offsets), _as_long(np.concatenate(sets)))
-                fine, coarse = zip(*(_histograms(s) for s in sets), strict=True)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * COUNTED), parts), pa.array(fine, pa.list_(pa.int32())), pa.array(coarse, pa.list_(pa.int32()))], ["set_id", "n", "parts", "fine", "coarse"])
-
-    return docs.mapInArrow(rows, "set_id long, n long, parts array<array<long>>, fine array<int>, coarse array<int>")
-
-
-def _histograms(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """How many of a set's hashes lie in each of some equal ranges, about four in each, and with half as many ranges."""
-    bits = max(1, (len(s) // 4).bit_length())
-    fine = np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-    return fine, fine[::2] + fine[1::2]
-
-
-def _only(cut: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``cut`` that a join with ``ids(set_id)`` may need; most others don't reach its shuffle."""
-    ids = ids.distinct()
-    wanted = cut.sparkSession.sparkContext.broadcast(bitmap(ids, ids.count()))
-
-    def likely(set_ids: pd.Series) -> pd.Series:
-        return pd.Series(in_bitmap(wanted.value, set_ids.to_numpy(np.int64)))
-
-    return cut.where(F.pandas_udf(likely, BooleanType())("set_id"))
-
-
-def _linked(pairs: DataFrame, cut: DataFrame, threshold: float) -> DataFrame:
-    """Those of ``pairs(a, b)`` that are similar.
-
-    Sizes and histograms bound a pair's overlap from above and leave most pairs out that aren't similar; for the
-    others overlaps are counted fragment by fragment and summed.
+                flat, sizes = shingle_sets(texts.slice(low, high - low), n)
+                keys, counts = prefix_keys(flat, sizes, shared.value, percent)
+                before, ends = np.cumsum(sizes) - sizes, np.cumsum(sizes)
+                ids = []
+                for salt in (_A, _C):
+                    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(flat ^ salt))])
+                    ids.append(pa.array(mixed(sums[ends] - sums[before] + sizes.astype(np.uint64)).view(np.int64), mask=sizes == 0))
+                has = counts > 0
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                of = row[has[row]]
+                held = flat[has[row]]
+                fragment = (held >> np.uint64(64 - COUNTED.bit_length() + 1)).astype(np.int64)
+                inner = np.bincount((np.cumsum(has) - 1)[of] * COUNTED + fragment, minlength=int(has.sum()) * COUNTED)
+                outer = pa.array(np.concatenate([[0], np.cumsum(has)]).astype(np.int32) * COUNTED)
+                parts = pa.ListArray.from_arrays(outer, _lists(held, inner))
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(low, high - low) for i in (0, 1)), pa.array(sizes.astype(np.int64)), *ids, _lists(keys, counts), parts], ["uid", "doc_id", "n_shingles", "x", "y", "keys", "parts"])
+
+    return rows_of.select("uid", F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(rows, "uid long, doc_id long, n_shingles long, x long, y long, keys array<long>, parts array<array<long>>")
+
+
+def _only(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of ``sets`` that a join with ``nodes(node)`` may need; most others don't reach its shuffle."""
+    nodes = nodes.distinct()
+    wanted = sets.sparkSession.sparkContext.broadcast(bitmap(nodes, nodes.count()))
+
+    def likely(node: pd.Series) -> pd.Series:
+        return pd.Series(in_bitmap(wanted.value, node.to_numpy(np.int64)))
+
+    return sets.where(F.pandas_udf(likely, BooleanType())("node"))
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs(a, b)`` of ``sets(node, n, keys, parts)`` that are similar.
+
+    Sizes and the overlap of the two prefixes bound a pair's overlap from above: what lies behind the prefix that ends first can
+    add no more than its set has left. For pairs within the bound each fragment gives a row with its overlap, summed per pair.
     """
-    parts = round(threshold * 100)
-    enough = lambda shared: shared * 100 >= (F.col("n_a") + F.col("n_b") - shared) * parts
-    total = lambda array: F.aggregate(array, F.lit(0).cast("long"), lambda s, x: s + x)
-
-    def of(side: str, *columns: str) -> DataFrame:
-        return cut.select(F.col("set_id").alias(side), F.col("n").alias(f"n_{side}"), *(F.col(c).alias(f"{c}_{side}") for c in columns))
-
-    # ranges of two similar sets are as many, or half as many
-    level = lambda x, y: F.when(F.size(f"fine_{x}") <= F.size(f"fine_{y}"), F.col(f"fine_{x}")).otherwise(F.col(f"coarse_{x}"))
-    rows = pairs.join(of("a", "fine", "coarse"), "a").join(of("b", "fine", "coarse"), "b").where(enough(F.least("n_a", "n_b")))
-    bound = total(F.zip_with(level("a", "b"), level("b", "a"), lambda p, q: F.least(p, q).cast("long")))
-    likely = stored(rows.where(enough(bound)).select("a", "b"))
-    cut = _only(cut, likely.select(F.col("a").alias("set_id")).unionByName(likely.select(F.col("b").alias("set_id"))))
-    rows = likely.join(of("a", "parts"), "a").join(of("b", "parts"), "b")
-    partial = F.zip_with("parts_a", "parts_b", lambda p, q: F.size(F.array_intersect(p, q)).cast("long"))
-    return rows.where(enough(total(partial))).select("a", "b")
-
-
-def _spanning(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Links that connect all similar sets of a group (set_id, n, parts) as all its links do: overlaps by fragment, summed."""
-    group = group.drop_duplicates("set_id")
-    ids, sizes = group["set_id"].to_numpy(np.int64), group["n"].to_numpy(np.int64)
-    shared = np.zeros((len(ids), len(ids)), np.float32)
-    for fragment in range(COUNTED):
-        lists = [parts[fragment] for parts in group["parts"]]
-        owners = np.repeat(np.arange(len(ids)), [len(x) for x in lists])
-        _, code, df = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
-        column = np.cumsum(df > 1) - 1
-        keep = (df > 1)[code]
-        for low in range(0, int((df > 1).sum()), 2048):  # hashes that two sets have at least, so many at a time
-            now = keep & (column[code] >= low) & (column[code] < low + 2048)
-            has = np.zeros((len(ids), 2048), np.float32)
-            has[owners[now], column[code[now]] - low] = 1
-            shared += has @ has.T
-    parts = round(threshold * 100)
-    like = shared.astype(np.int64) * 100 >= (sizes[:, None] + sizes - shared.astype(np.int64)) * parts
+    enough = lambda shared: shared * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
+    head = sets.select("node", "n", "keys")
+    of = lambda side: head.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("keys").alias(f"keys_{side}"))
+    left = lambda side: F.expr(f"(n_{side} * {percent} + 99) div 100 - 1")
+    rows = pairs.join(of("a"), "a").join(of("b"), "b").where(enough(F.least("n_a", "n_b")))
+    likely = stored(rows.where(enough(F.size(F.array_intersect("keys_a", "keys_b")) + F.greatest(left("a"), left("b")))).select("a", "b", "n_a", "n_b"))
+    needed = _only(sets, likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))))
+    of = lambda side: needed.select(F.col("node").alias(side), F.posexplode("parts").alias("fragment", f"part_{side}")).where(f"size(part_{side}) > 0")
+    counted = likely.join(of("a"), "a").join(of("b"), ["b", "fragment"]).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("part_a", "part_b")).cast("long").alias("shared"))
+    return counted.groupBy("a", "b", "n_a", "n_b").agg(F.sum("shared").alias("shared")).where(enough(F.col("shared"))).select("a", "b")
+
+
+def _overlaps(lists: list[np.ndarray]) -> np.ndarray:
+    """How many numbers each two lists share."""
+    shared = np.zeros((len(lists), len(lists)), np.float32)
+    owners = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    _, code, df = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+    column, keep = np.cumsum(df > 1) - 1, (df > 1)[code]
+    for low in range(0, int((df > 1).sum()), 2048):  # numbers that two lists have at least, so many at a time
+        now = keep & (column[code] >= low) & (column[code] < low + 2048)
+        has = np.zeros((len(lists), 2048), np.float32)
+        has[owners[now], column[code[now]] - low] = 1
+        shared += has @ has.T
+    return shared.astype(np.int64)
+
+
+def _promising(group: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """The rows of a tile that some row of another component may be similar to, by sizes and prefixes."""
+    n, label = group["n"].to_numpy(np.int64), group["label"].to_numpy(np.int64)
+    behind = -(-n * percent // 100) - 1
+    most = np.minimum(_overlaps(group["keys"].tolist()) + np.maximum(behind[:, None], behind), np.minimum(n[:, None], n))
+    may = (most * (100 + percent) >= (n[:, None] + n) * percent) & (label[:, None] != label)
+    return group.loc[may.any(1), ["key", "i", "j", "node"]]
+
+
+def _spanning(group: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links that connect all similar sets of a tile (node, n, parts) as all its links do: overlaps by fragment, summed."""
+    ids, sizes = group["node"].to_numpy(np.int64), group["n"].to_numpy(np.int64)
+    shared = sum(_overlaps([parts[fragment] for parts in group["parts"]]) for fragment in range(COUNTED))
+    like = shared * (100 + percent) >= (sizes[:, None] + sizes) * percent
     np.fill_diagonal(like, False)
     label = np.arange(len(ids))
     while True:
@@ -271,14 +326,18 @@ def _spanning(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return pd.DataFrame({"a": ids[label[far]], "b": ids[far]})
 
 
-def _blocked_links(large: DataFrame, cut: DataFrame, threshold: float) -> DataFrame:
-    """Spanning links of ``large(key, set_id, m)``: each pair of blocks of a group is a task of bounded size."""
-    large = stored(large)
-    blocks = F.ceil(F.col("m") / BLOCK)
-    dealt = large.select("key", "set_id", blocks.alias("blocks"), F.pmod(F.xxhash64("set_id"), blocks).alias("block"))
-    tiles = dealt.select("key", "set_id", "block", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).alias("other"))
-    tiles = tiles.select("key", "set_id", F.least("block", F.col("other")).alias("i"), F.greatest("block", F.col("other")).alias("j"))
-    return tiles.join(_only(cut, large.select("set_id")).select("set_id", "n", "parts"), "set_id").groupBy("key", "i", "j").applyInPandas(lambda group: _spanning(group, threshold), "a long, b long").distinct()
+def _blocked_links(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Spanning links of ``large(key, node, label, blocks)``: each pair of blocks of a group is a task of bounded size.
+
+    Tiles see sizes and prefixes first; only sets that these leave in doubt come with all their n-grams.
+    """
+    dealt = large.withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("blocks")))
+    tiles = dealt.select("key", "node", "label", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    tiles = tiles.select("key", "node", "label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    heads = tiles.join(sets.select("node", "n", "keys"), "node")
+    doubt = stored(heads.groupBy("key", "i", "j").applyInPandas(lambda g: _promising(g, percent), "key long, i long, j long, node long"))
+    full = doubt.join(_only(sets, doubt.select("node")).select("node", "n", "parts"), "node")
+    return full.groupBy("key", "i", "j").applyInPandas(lambda g: _spanning(g, percent), "a long, b long").distinct()
 
 
 def ngram_jaccard_join(docs: DataFrame, n: int = 3, threshold: float = 0.9) -> DataFrame:
@@ -286,39 +345,53 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, threshold: float = 0.9) -> D
 
     Links join documents whose n-gram sets have a Jaccard similarity of ``threshold`` (whole per
     cent) or more. A null or blank text has an empty set, links with nothing and is its own component.
-    Repeated rows each get a row; a null doc_id never names a component that has another id.
-    n-grams are told apart by 64-bit hashes. Other columns are left out.
+    Repeated rows each get a row; a null doc_id never names a component that has another id. An empty table gives no rows.
+    n-grams are told apart by 64-bit hashes, equal sets by 128 bits. Other columns are left out, whatever their names.
     """
-    repeated = stored(_keys(docs, n, threshold).groupBy("key").count().where("count > 1").select("key"))
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap(repeated, repeated.count()))
-    described = stored(_described(docs, n, threshold, shared))
-    # one set, one node, whatever the number of its copies
-    sets = stored(described.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least_id")))
-    once = described.where("size(keys) > 0").join(sets.select(F.col("least_id").alias("doc_id"), "set_id"), ["doc_id", "set_id"], "left_semi")
-    listed = once.select("set_id", F.explode("keys").alias("key"))
-    hubs = listed.groupBy("key").agg(F.min("set_id").alias("hub"), F.max("set_id").alias("top")).where("hub < top")
-    members = stored(listed.join(hubs.select("key", "hub"), "key").distinct())
-    stars = stored(members.where("set_id <> hub").select(F.col("hub").alias("a"), F.col("set_id").alias("b")).distinct())
-    involved = stored(members.select("set_id").distinct().join(sets, "set_id").where("least_id is not null").select(F.col("least_id").alias("doc_id"), "set_id"))
-    cut = stored(_cut_sets(_texts_of(docs, involved), n))
-    links = stored(_linked(stars, cut, threshold))
+    rows = docs.select("doc_id", "text").withColumn("uid", F.monotonically_increasing_id())
+    return _grouped(rows, n, round(threshold * 100)).select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each group that links join, the row of the least doc_id stays.
+
+    Of repeated rows one stays, of rows that differ under one doc_id one of each group. Rows with null or blank texts are
+    groups of their own and stay; a row with a null doc_id stays where its group has no other. All columns, whatever their names, come back.
+    """
+    uid = next(name for i in range(len(docs.columns) + 1) if (name := f"uid_{i}") not in docs.columns)
+    rows = stored(docs.withColumn(uid, F.monotonically_increasing_id()))
+    grouped = stored(_grouped(rows.select("doc_id", "text", F.col(uid).alias("uid")), n, round(threshold * 100)).where("label is not null"))
+    first = grouped.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("first")).select(F.col("first.uid").alias(uid))
+    gone = grouped.select(F.col("uid").alias(uid)).join(first, uid, "left_anti")
+    return rows.join(gone, uid, "left_anti").select(*docs.columns)
+
+
+def _grouped(rows: DataFrame, n: int, percent: int) -> DataFrame:
+    """``rows(uid, doc_id, text)`` to uid, doc_id, n_shingles, label (of the group, null without n-grams), component_id (its least doc_id)."""
+    order = rows.sparkSession.sparkContext.broadcast(global_order(rows, n))
+    described = stored(_described(rows, n, percent, order))
+    # one set, one node, whatever the number of its copies; a row's uid names it
+    nodes = stored(described.where("x is not null").groupBy("x", "y").agg(F.min("uid").alias("node"), F.min("doc_id").alias("least_id")))
+    keyed = described.where("size(keys) > 0")
+    listed = keyed.select(F.col("uid").alias("node"), F.col("n_shingles").alias("n"), "keys").join(nodes.select("node"), "node", "left_semi").select("node", "n", F.explode("keys").alias("key"))
+    sets = keyed.select(F.col("uid").alias("node"), F.col("n_shingles").alias("n"), "keys", "parts")
+    hubs = listed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top")
+    members = stored(listed.join(hubs.select("key", "hub"), "key"))
+    links = stored(_linked(members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), sets, percent))
     labels = stored(components(links))
 
-    # fragments whose sets are not all connected yet: every pair across components, save those with the hub
-    named = members.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").select("key", "hub", "set_id", F.coalesce("label", "set_id").alias("label"))
-    split = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
+    # keys whose sets are not all connected yet: every pair across components, save those with the hub
+    named = members.join(labels, "node", "left").select("key", "hub", "node", "n", F.coalesce("label", "node").alias("label"))
+    split = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m"), F.sum("n").alias("grams")).where("low < high").select("key", "m", "grams")
     open_ = stored(named.join(split, "key"))
-    sized = open_.groupBy("key").count().withColumnRenamed("count", "m")
-    blocked = stored(_blocked_links(open_.join(sized.where(F.col("m") > PAIRED), "key").select("key", "set_id", "m"), cut, threshold))
-    few = open_.join(sized.where(F.col("m") <= PAIRED).select("key"), "key")
-    other = few.select("key", F.col("set_id").alias("q"), F.col("label").alias("q_label"))
-    across = few.select("key", "hub", F.col("set_id").alias("p"), F.col("label").alias("p_label")).join(other, "key").where("p < q and p_label <> q_label and p <> hub and q <> hub")
-    pairs = stored(across.select(F.col("p").alias("a"), F.col("q").alias("b")).distinct())
-    more = stored(blocked.unionByName(_linked(pairs, cut, threshold)))
+    large = open_.where(F.col("m") > PAIRED).select("key", "node", "label", F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("long").alias("blocks"))
+    few = open_.where(F.col("m") <= PAIRED)
+    other = few.select("key", F.col("node").alias("q"), F.col("n").alias("q_n"), F.col("label").alias("q_label"))
+    across = few.select("key", "hub", F.col("node").alias("p"), F.col("n").alias("p_n"), F.col("label").alias("p_label")).join(other, "key").where("p < q and p_label <> q_label and p <> hub and q <> hub")
+    across = across.where(F.least("p_n", "q_n") * 100 >= F.greatest("p_n", "q_n") * percent)
+    more = stored(_blocked_links(large, sets, percent).unionByName(_linked(across.select(F.col("p").alias("a"), F.col("q").alias("b")).distinct(), sets, percent)))
     final = labels if not more.take(1) else stored(components(links.unionByName(more)))
-    final = final.withColumnRenamed("node", "set_id")
-    least = sets.join(final, "set_id").groupBy("label").agg(F.min("least_id").alias("component"))
-    named_sets = sets.join(final, "set_id", "left").join(least, "label", "left").select("set_id", F.coalesce("component", "least_id").alias("component_id"))
-    return described.select("doc_id", "n_shingles", "set_id").join(named_sets, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-
-
+    per_node = nodes.join(final, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    least = per_node.groupBy("label").agg(F.min("least_id").alias("component"))
+    per_set = per_node.join(least, "label").select("x", "y", "label", F.col("component").alias("component_id"))
+    return described.select("uid", "doc_id", "n_shingles", "x", "y").join(per_set, ["x", "y"], "left").select("uid", "doc_id", "n_shingles", "label", "component_id")

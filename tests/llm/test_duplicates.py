@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from patternloom.llm import embedding_dedup, fingerprints, line_dedup, ngram_join
+from patternloom.llm import components as components_module
 from patternloom.llm.components import components
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -66,9 +67,10 @@ def test_ngram_join_corner_cases(spark):
     assert ngram_join.ngram_jaccard_join(spark.createDataFrame([], kind)).count() == 0
 
 
-def test_similar_sets_share_a_key():
+def test_similar_sets_share_a_prefix_key():
     r = np.random.default_rng(3)
-    for threshold in (0.8, 0.9):
+    filters = ngram_join.Order(40, 0, ((r.integers(0, 2**63, 64).astype(np.uint64), np.zeros(1, np.int64), np.full(1, 4096)),), False)
+    for percent in (80, 90):
         for _ in range(400):
             m = int(np.exp(r.uniform(np.log(2), np.log(1500))))
             a = np.unique(r.integers(0, 2**63, m).astype(np.uint64) * np.uint64(2))
@@ -76,11 +78,38 @@ def test_similar_sets_share_a_key():
             gone = int(r.integers(0, k + 1))
             b = np.unique(np.concatenate([r.permutation(a)[gone:], r.integers(0, 2**63, k - gone).astype(np.uint64)]))
             same = len(np.intersect1d(a, b))
-            if threshold <= same / (len(a) + len(b) - same) < 1:
-                assert len(np.intersect1d(ngram_join.fragment_keys(a, threshold), ngram_join.fragment_keys(b, threshold)))
+            if percent <= 100 * same / (len(a) + len(b) - same) < 100:
+                keys, counts = ngram_join.prefix_keys(np.concatenate([a, b]), np.array([len(a), len(b)]), filters, percent)
+                assert len(np.intersect1d(keys[: counts[0]], keys[counts[0] :]))
 
 
-def test_components(spark):
+def test_global_order_ranks_by_count(spark):
+    texts = [f"all docs say this {'some of them that' if i % 8 == 0 else ''} w{i}" for i in range(64)]
+    order = ngram_join.global_order(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), 1)
+    import pyarrow as pa
+
+    rank = order.rank(ngram_join.shingle_sets(pa.array(["all", "some", "w5"]), 1)[0]).tolist()
+    assert order.all_shared and [ngram_join.LEVELS[i - 1] if i else 1 for i in rank] == [64, 8, 1]
+
+
+def test_word_hashes():
+    import pyarrow as pa
+
+    texts = ["", " one\tTwo ", "two", "one", "\n", "é É ab", "ba", "one"]
+    hashes, counts = ngram_join.word_hashes(pa.array(["skipped", *texts]).slice(1))
+    words = [w for t in texts for w in shingle_words(t)]
+    assert counts.tolist() == [len(shingle_words(t)) for t in texts]
+    assert len({*zip(words, hashes.tolist(), strict=True)}) == len({*words}) == len({*hashes.tolist()})
+    assert ngram_join.shingle_sets(pa.array([], pa.string()), 3)[1].tolist() == []
+
+
+def shingle_words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text.translate(LOWER))
+
+
+@pytest.mark.parametrize("heavy", [4096, 2])
+def test_components(spark, heavy, monkeypatch):
+    monkeypatch.setattr(components_module, "HEAVY", heavy)
     r = random.Random(2)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 440)] + [(7, 7), (None, 3)]
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
