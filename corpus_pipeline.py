@@ -41,13 +41,13 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least doc_id, of each group of near duplicates."""
+    """One document, that of the least doc_id, of each group of near duplicates.
+
+    Rows are told apart as rows, not by doc_id: of repeated rows one stays, rows that differ under one doc_id are
+    judged each. Null and blank texts have no duplicates and stay.
+    """
     _share_code(spark)
-    found = settled(ngram_join.ngram_jaccard_join(docs, n=WORDS, threshold=SIMILARITY))
-    gone = found.where("component_id <> doc_id").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti")
-    rows, ids = found.where("doc_id is not null").agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
-    return (kept if rows == ids else kept.dropDuplicates(["doc_id"])).select(*docs.columns)
+    return ngram_join.one_of_each(docs, n=WORDS, threshold=SIMILARITY)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
