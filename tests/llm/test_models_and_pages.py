@@ -72,6 +72,58 @@ def test_html_names_leave_wrappers_and_headings():
     assert html_text.Page("<p>one <span class=ad>buy</span> two</p>").text() == "one\ntwo"
 
 
+def test_html_long_and_deep_pages():
+    import time
+
+    began = time.time()
+    assert html_text.Page("<div class=ad>" * 100_000 + "<p>in</p>" + "</b>" * 100_000).blocks
+    assert html_text.Page("<div>" * 100_000 + "text" + "</div>" * 100_000 + "<ul>" + "<li>x" * 50_000).text().startswith("text\nx\nx")
+    assert "c" in html_text.Page("<a b='c " * 125_000).text()
+    assert html_text.Page("<a b='c " * 50_000 + "><p>end</p>").text().endswith("end")
+    assert html_text.Page("<!-- " + "<p " * 200_000).text() == "" and html_text.Page("<script>" * 50_000).text() == ""
+    assert time.time() - began < 30
+
+
+def test_style_tree_is_its_definition(spark):
+    r = np.random.default_rng(2)
+    page = lambda i: f"<body><div class=m><p>menu {i % 2 if i % 9 == 0 else 0}</div><article><p>text {i}</p>{'<p>more</p>' if r.random() < 0.5 else ''}</article><div class=x{i}>{'<b>' * (i % 3)}same</div></body>"
+    rows = [(i, f"http://h{i % 3}/{i}", page(i)) for i in range(60)]
+    parsed = html_text.parsed_pages(spark.createDataFrame([(a, b, f"h{a % 3}", c) for a, b, c in rows], "page_id long, url string, host string, html string"))
+    seen = {"content": collections.defaultdict(collections.Counter), "presentation": collections.defaultdict(collections.Counter)}
+    for i, _, source in rows:
+        p = html_text.Page(source, f"h{i % 3}")
+        for chain, parent, main, text in p.blocks:
+            seen["content"][(f"h{i % 3}", chain, main, parent)][text] += 1
+        for chain, steps in p.shapes.items():
+            seen["presentation"][(f"h{i % 3}", chain)][tuple(steps)] += 1
+
+    def importance(counter):
+        shares = [n / (sum(counter.values()) + 1) for n in [*counter.values(), 1]]
+        return -sum(s * math.log(s) for s in shares) / math.log(sum(counter.values()) + 1)
+
+    unsigned = lambda x: x % 2**64
+    content, presentation = html_text.style_nodes(parsed)
+    got = {(r["host"], unsigned(r["chain"]), r["main"], unsigned(r["parent"])): r["importance"] for r in content.collect()}
+    assert got.keys() == seen["content"].keys() and all(math.isclose(got[k], importance(seen["content"][k]), abs_tol=1e-12) for k in got)
+    also = {(r["host"], unsigned(r["chain"])): r["importance"] for r in presentation.collect()}
+    assert also.keys() == seen["presentation"].keys() and all(math.isclose(also[k], importance(seen["presentation"][k]), abs_tol=1e-12) for k in also)
+    low = set()
+    for k, v in got.items():
+        if (0.9 * v + 0.1 * also.get((k[0], k[3]), 1.0)) * (1.5 if k[2] else 1) < 0.2:
+            low.add((k[0], k[1], k[2]))
+    want = {}
+    for i, _, source in rows:
+        blocks = html_text.Page(source, f"h{i % 3}").blocks
+        want[i] = "\n".join(text for chain, _, main, text in blocks if (f"h{i % 3}", chain, main) not in low)
+    assert low and {r["page_id"]: r["text"] for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == want
+
+
+def test_html_main_text_beside_an_article(spark):
+    teaser = html_text.Page("<article>teaser</article><div><p>The real long text</p></div>").text()
+    beside = html_text.Page("<div><p>article-like text</p></div><main><div>only main</div></main>").text()
+    assert teaser == "teaser\nThe real long text" and beside == "article-like text\nonly main"
+
+
 def test_html_on_the_pages(spark):
     import html
 
