@@ -1,14 +1,14 @@
-"""Operator 8: encoding and decoding with a SentencePiece model of merges.
+"""Operator 8: encoding and decoding with a SentencePiece model by a batched Viterbi recursion.
 
-The model at hand is a BPE model: its ids come from merging the best-scored neighbours, leftmost
-first, and a Viterbi path over the same scores gives other ids (a test shows it). So the batched numpy
-form is kept but the recursion is that of merging: distinct words of equal length advance together,
-substring hashes probe the sorted piece keys, and a vectorised maximum picks each word's next merge.
+The model at hand is a BPE model: its ids come from merging the best-scored neighbours, leftmost first, and
+the path of the best score sum gives other ids (a test shows it). But each prefix of a word has one encoding, whose last piece is the
+one that stands fast against the last piece of the encoding before it: merging the two anew gives the same two.
+So the forward recursion goes over end positions, distinct words of equal length together: substring hashes
+probe the sorted piece keys, pairs that do not stand fast count as minus infinity, vectorised maxima store backpointers.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,10 +20,13 @@ from pyspark.sql import functions as F
 from .common import gathered, slices, strings
 from .ngram_join import mixed
 
-#: Characters worked on at a time; words longer than this are merged one by one with a heap.
-SLICE_CHARS, LONGEST = 4_000_000, 40
+#: Characters worked on at a time; words longer than this go alone; words, and for long ones pairs of pieces, that a worker remembers.
+SLICE_CHARS, LONGEST, REMEMBERED = 1_500_000, 40, 200_000
+#: Bits of the tables that say which hashes need no search.
+_MAYBE = 22
 SPACE, BYTES_FROM = "▁", 3
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_NONE = np.iinfo(np.int64).max
 
 
 class PieceCodec:
@@ -34,18 +37,95 @@ class PieceCodec:
         n = model.get_piece_size()
         self.pieces = [model.id_to_piece(i) for i in range(n)]
         normal = [i for i in range(n) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
-        self.scores = {self.pieces[i]: (model.get_score(i), i) for i in normal}
         keys = np.array([self._key_of(self.pieces[i]) for i in normal], np.uint64)
         order = np.argsort(keys)
         self.keys, self.key_ids = keys[order], np.array(normal, np.int32)[order]
-        self.key_scores = np.array([model.get_score(int(i)) for i in self.key_ids])
         if (self.keys[1:] == self.keys[:-1]).any():
             raise ValueError("two pieces have one hash")
+        self.may_be_key = np.zeros(1 << _MAYBE, bool)
+        self.may_be_key[(self.keys >> np.uint64(64 - _MAYBE)).astype(np.int64)] = True
+        self.longest_piece = max(len(self.pieces[i]) for i in normal)
+        # characters come first, then pieces in the order in which they are merged
+        ranked = sorted(normal, key=lambda i: (len(self.pieces[i]) > 1, -model.get_score(i), i))
+        self.rank = np.full(n, -1, np.int64)
+        self.rank[ranked] = np.arange(len(ranked))
+        self.id_of = {self.pieces[i]: i for i in normal}
+        self._learn_splits(ranked)
+        self.known = np.full(n, False)
+        self.known[[i for i in normal if self.left[i] >= 0]] = True
+        self.fast: dict[tuple[int, int], bool] = {}
+        self.remembered: dict[str, bytes] = {}
         raw = [bytes([i - BYTES_FROM]) if model.is_byte(i) else b"" if model.is_control(i) else " ⁇ ".encode() if model.is_unknown(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
         self.raw_lengths = np.array([len(r) for r in raw], np.int64)
         self.raw_starts = np.cumsum(self.raw_lengths) - self.raw_lengths
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
 
+    def _learn_splits(self, ranked: list[int]) -> None:
+        """For each piece the two that its last merge joins (itself twice for a character, -1 if merges never make it), and for each two pieces what they join to."""
+        n, pieces, id_of = len(self.pieces), self.pieces, self.id_of
+        self.left, self.right = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
+        joins: dict[int, int] = {}
+        for i in ranked:
+            text = pieces[i]
+            if len(text) == 1:
+                self.left[i] = self.right[i] = i
+                continue
+            halves = [(x, y) for k in range(1, len(text)) if (x := id_of.get(text[:k])) is not None and (y := id_of.get(text[k:])) is not None]
+            joins.update(((x * n + y), i) for x, y in halves)
+        self.join_keys = np.array(sorted(joins), np.int64)
+        self.may_join = np.zeros(1 << _MAYBE, bool)
+        self.may_join[self._slot(self.join_keys)] = True
+        self.join_ids = np.array([joins[k] for k in self.join_keys.tolist()], np.int64)
+        # in the order of merges: a piece is made where its two halves stand fast against each other but for itself
+        rank = self.rank
+        by_size: dict[int, list[tuple[int, int, int]]] = {}
+        for key, i in joins.items():
+            by_size.setdefault(len(pieces[i]), []).append((i, key // n, key % n))
+        for size in sorted(by_size):
+            i, x, y = (np.array(column, np.int64) for column in zip(*by_size[size], strict=True))
+            ok = (self.left[x] >= 0) & (self.left[y] >= 0) & (rank[x] < rank[i]) & (rank[y] < rank[i])
+            i, x, y = i[ok], x[ok], y[ok]
+            made = self.stands(x, y, first_limit=rank[i])
+            self.left[i[made]], self.right[i[made]] = x[made], y[made]
+
+    @staticmethod
+    def _slot(key: np.ndarray) -> np.ndarray:
+        return ((key.view(np.uint64) * _BASE) >> np.uint64(64 - _MAYBE)).astype(np.int64)
+
+    def _joined_rank(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The rank of what two pieces join to, or a number above all."""
+        key = x * len(self.pieces) + y
+        out = np.full(len(key), _NONE)
+        maybe = np.flatnonzero(self.may_join[self._slot(key)])
+        at = np.minimum(np.searchsorted(self.join_keys, key[maybe]), len(self.join_keys) - 1)
+        hit = self.join_keys[at] == key[maybe]
+        out[maybe[hit]] = self.rank[self.join_ids[at[hit]]]
+        return out
+
+    def stands(self, x: np.ndarray, y: np.ndarray, first_limit: np.ndarray | int = _NONE) -> np.ndarray:
+        """Whether merging the texts of two pieces anew ends with the same two.
+
+        Walks back over the merges that made the two, latest first: none of the neighbours that met at the seam
+        in between may join to a piece that comes before the merge that parted them; at a tie the left place merges first.
+        """
+        x, y = x.copy(), y.copy()
+        limit = np.broadcast_to(np.asarray(first_limit, np.int64), x.shape).copy()
+        out, at = np.ones(len(x), bool), np.arange(len(x))
+        while len(at):
+            bad = self._joined_rank(x, y) < limit
+            out[at[bad]] = False
+            at, x, y = at[~bad], x[~bad], y[~bad]
+            if not len(at):
+                break
+            rx, ry = self.rank[x], self.rank[y]
+            part_x, part_y = self.right[x] != x, self.left[y] != y
+            take_x = part_x & ((rx > ry) | ~part_y)
+            live = part_x | part_y
+            limit = np.where(take_x, rx, ry + 1)
+            x, y = np.where(take_x, self.right[x], x), np.where(take_x, y, self.left[y])
+            at, x, y, limit = at[live], x[live], y[live], limit[live]
+        return out
+
     @staticmethod
     def _prefixes(codes: np.ndarray) -> np.ndarray:
         out = np.zeros((codes.shape[0], codes.shape[1] + 1), np.uint64)
@@ -57,114 +137,94 @@ class PieceCodec:
         codes = np.frombuffer(piece.encode("utf-32-le"), np.uint32).astype(np.uint64)[None]
         return mixed(self._prefixes(codes)[:, -1] + np.uint64(len(piece)))[0]
 
-    def _probe(self, prefix: np.ndarray, power: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Scores and ids of substrings; no piece: -inf and -1."""
-        size = end - start
-        key = mixed(prefix[row, end] - prefix[row, start] * power[size] + size.astype(np.uint64))
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        hit = self.keys[at] == key
-        return np.where(hit, self.key_scores[at], -np.inf), np.where(hit, self.key_ids[at], -1)
-
-    def _merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The final symbols of words of one length, in order: word, start, end, piece id."""
-        length = len(words[0])
-        codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(-1, length).astype(np.uint64)
-        prefix = self._prefixes(codes)
-        power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(length, _BASE)]))
-        row = np.arange(len(words))
-        bounds = np.tile(np.arange(length + 1), (len(words), 1))
-        score = np.stack([self._probe(prefix, power, row, bounds[:, i], bounds[:, i + 2])[0] for i in range(length - 1)], 1) if length > 1 else np.zeros((len(words), 0))
-        done: list[tuple[np.ndarray, np.ndarray]] = []
-        while True:
-            best = score.argmax(1) if score.shape[1] else np.zeros(len(row), np.int64)
-            live = score[np.arange(len(row)), best] > -np.inf if score.shape[1] else np.zeros(len(row), bool)
-            if not live.all():
-                done.append((row[~live], bounds[~live]))
-                row, bounds, score, best = row[live], bounds[live], score[live], best[live]
-            if not len(row):
-                break
-            n, every = bounds.shape[1], np.arange(len(row))
-            keep = np.ones(bounds.shape, bool)
-            keep[every, best + 1] = False
-            bounds = bounds[keep].reshape(len(row), n - 1)
-            keep = np.ones(score.shape, bool)
-            keep[every, best] = False
-            score = score[keep].reshape(len(row), -1)
-            for shift in (-1, 0):  # the pairs that the new symbol is part of
-                at = best + shift
-                ok = (at >= 0) & (at < score.shape[1])
-                if ok.any():
-                    r, a = every[ok], at[ok]
-                    score[r, a] = self._probe(prefix, power, row[r], bounds[r, a], bounds[r, a + 2])[0]
-        sizes = [bounds.shape[1] - 1 for _, bounds in done]
-        word = np.concatenate([np.repeat(row, n) for (row, _), n in zip(done, sizes, strict=True)])
-        start, end = (np.concatenate([part(bounds).ravel() for _, bounds in done]) for part in (lambda b: b[:, :-1], lambda b: b[:, 1:]))
-        order = np.lexsort((start, word))
-        word, start, end = word[order], start[order], end[order]
-        return word, start, end, self._probe(prefix, power, word, start, end)[1]
+    def _probe(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of some hashes of substrings are pieces' ones, and the pieces."""
+        maybe = np.flatnonzero(self.may_be_key[(key >> np.uint64(64 - _MAYBE)).astype(np.int64)])
+        at = np.minimum(np.searchsorted(self.keys, key[maybe]), len(self.keys) - 1)
+        found = self.key_ids[at].astype(np.int64)
+        hit = (self.keys[at] == key[maybe]) & self.known[found]
+        return maybe[hit], found[hit]
 
     def _ids_of_length(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words of one length, end to end in the words' order, and their numbers."""
-        row, start, _, ids = self._merged(words)
-        counts = np.bincount(row, minlength=len(words))
+        n, length = len(words), len(words[0])
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, length).astype(np.uint64)
+        prefix = self._prefixes(codes)
+        power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(length, _BASE)]))
+        last, back = np.full((length + 1, n), -1, np.int64), np.zeros((length + 1, n), np.int64)
+        for end in range(1, length + 1):
+            start = np.arange(max(0, end - self.longest_piece), end)
+            key = mixed(prefix[:, end, None] - prefix[:, start] * power[end - start] + (end - start).astype(np.uint64))
+            at, piece = self._probe(key.ravel())
+            row, size = at // len(start), end - start[at % len(start)]
+            before = last[end - size, row]
+            stands = before < 0  # an unknown character or the word's begin joins with nothing
+            ask = np.flatnonzero(~stands)
+            stands[ask] = self.stands(before[ask], piece[ask])
+            row, size, piece = row[stands], size[stands], piece[stands]
+            np.maximum.at(back[end], row, size)
+            best = size == back[end, row]
+            last[end, row[best]] = piece[best]
+            np.maximum(back[end], 1, out=back[end])  # a character without a piece
+        # walk back, all words together
+        at, ends = np.full(n, length), np.zeros((length + 1, n), bool)
+        every = np.arange(n)
+        while (live := at > 0).any():
+            ends[at[live], every[live]] = True
+            at = np.where(live, at - back[at, every], 0)
+        row, end = np.nonzero(ends.T)
+        ids, counts = last[end, row], np.bincount(row, minlength=n)
         if (ids >= 0).all():
-            return ids, counts
-        unknown = np.flatnonzero(ids < 0)  # a single character without a piece: its bytes
-        raw = [words[r][s].encode("utf-8", "surrogatepass") for r, s in zip(row[unknown].tolist(), start[unknown].tolist(), strict=True)]
+            return ids.astype(np.int32), counts
+        unknown = np.flatnonzero(ids < 0)  # its bytes
+        raw = [words[r][e - 1].encode("utf-8", "surrogatepass") for r, e in zip(row[unknown].tolist(), end[unknown].tolist(), strict=True)]
         repeat = np.ones(len(ids), np.int64)
         repeat[unknown] = [len(b) for b in raw]
-        out = np.repeat(ids, repeat)
+        out = np.repeat(ids, repeat).astype(np.int32)
         out[out < 0] = np.frombuffer(b"".join(raw), np.uint8).astype(np.int32) + BYTES_FROM
-        return out, np.bincount(row, weights=repeat, minlength=len(words)).astype(np.int64)
+        return out, np.bincount(row, weights=repeat, minlength=n).astype(np.int64)
 
     def _long(self, word: str) -> np.ndarray:
-        """The same for one long word, by a heap of neighbours."""
-        text, after, before = list(word), list(range(1, len(word) + 1)), list(range(-1, len(word) - 1))
-        heap: list[tuple[float, int, int, str]] = []
-
-        def offer(i: int) -> None:
-            j = after[i]
-            if j < len(text) and (found := self.scores.get(text[i] + text[j])):
-                heapq.heappush(heap, (-found[0], i, j, text[i] + text[j]))
-
-        for i in range(len(text) - 1):
-            offer(i)
-        while heap:
-            _, i, j, joined = heapq.heappop(heap)
-            if not text[i] or after[i] != j or text[i] + text[j] != joined:
-                continue
-            text[i], text[j], after[i] = joined, "", after[j]
-            if after[j] < len(text):
-                before[after[j]] = i
-            if before[i] >= 0:
-                offer(before[i])
-            offer(i)
-        out: list[int] = []
-        for t in text:
-            if t:
-                out += [self.scores[t][1]] if t in self.scores else [b + BYTES_FROM for b in t.encode("utf-8", "surrogatepass")]
-        return np.array(out, np.int32)
+        """The same recursion for one long word."""
+        if len(self.fast) > REMEMBERED:
+            self.fast.clear()
+        fast, known, last, back = self.fast, self.known, [-1] * (len(word) + 1), [1] * (len(word) + 1)
+        for end in range(1, len(word) + 1):
+            for size in range(min(end, self.longest_piece), 0, -1):
+                piece = self.id_of.get(word[end - size : end])
+                if piece is None or not known[piece]:
+                    continue
+                pair = (last[end - size], piece)
+                if pair[0] >= 0 and pair not in fast:
+                    fast[pair] = bool(self.stands(np.array(pair[:1]), np.array(pair[1:]))[0])
+                if pair[0] < 0 or fast[pair]:
+                    last[end], back[end] = piece, size
+                    break
+        out: list[list[int]] = []
+        end = len(word)
+        while end:
+            out.append([last[end]] if last[end] >= 0 else [b + BYTES_FROM for b in word[end - 1].encode("utf-8", "surrogatepass")])
+            end -= back[end]
+        return np.array([i for ids in reversed(out) for i in ids], np.int32)
 
     def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct words, end to end, and their numbers."""
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        flats, order, counts = [], [], np.zeros(len(words), np.int64)
-        for length in np.unique(lengths):
-            at = np.flatnonzero(lengths == length)
+        if len(self.remembered) > REMEMBERED:
+            self.remembered.clear()
+        known = self.remembered
+        by_length: dict[int, list[str]] = {}
+        for word in words:
+            if word not in known:
+                by_length.setdefault(len(word), []).append(word)
+        for length, new in by_length.items():
             if length > LONGEST:
-                for i in at:
-                    flats.append(self._long(words[i]))
-                    counts[i] = len(flats[-1])
+                known.update((word, self._long(word).tobytes()) for word in new)
             else:
-                ids, counts[at] = self._ids_of_length([words[i] for i in at])
-                flats.append(ids.astype(np.int32))
-            order.append(at)
-        if not flats:
-            return np.zeros(0, np.int32), counts
-        flat, by = np.concatenate(flats), np.concatenate(order)
-        starts = np.empty(len(words), np.int64)
-        starts[by] = np.cumsum(counts[by]) - counts[by]
-        return gathered(flat, starts, counts, np.arange(len(words)))[0], counts
+                ids, counts = self._ids_of_length(new)
+                raw, ends = ids.tobytes(), (np.cumsum(counts) * 4).tolist()
+                known.update((word, raw[a:b]) for word, a, b in zip(new, [0, *ends[:-1]], ends, strict=True))
+        runs = [known[word] for word in words]
+        return np.frombuffer(b"".join(runs), np.int32), np.fromiter(map(len, runs), np.int64, len(runs)) // 4
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids end to end, and how many each has; an empty text has none."""

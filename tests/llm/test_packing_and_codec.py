@@ -54,6 +54,14 @@ def test_packing_reaches_the_bound(spark):
     assert (got["part_bins"] >= got["part_bound"]).all()
 
 
+def test_equal_rows_spread(spark):
+    row = (None, 0, 0, 900, 7)
+    got = packing.pack(spark.createDataFrame([row] * 4000, packing.PIECES), part_items=500).toPandas()
+    assert len(got) == 4000 and got["sequence_id"].nunique() == 1000
+    assert got.groupby("part").size().max() < 750
+    check_places(got)
+
+
 def test_empty_table(spark, docs):
     assert packing.pack_documents(docs.limit(0), BPE).count() == 0
     assert piece_codec.encode(docs.limit(0), PIECES).count() == 0
@@ -93,6 +101,17 @@ def test_codec_equals_the_library(docs):
     assert sorted(r["text"] for r in back.collect()) == sorted((r["text"] or "") for r in docs.collect())
 
 
+def test_words_long_and_short_alike(spark):
+    """Every word of the documents, by the batched recursion and alone, has the library's ids."""
+    sp, codec = sentencepiece.SentencePieceProcessor(model_file=PIECES), piece_codec._codec(PIECES)
+    words = sorted({w for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect() for w in (r["text"] or "").split(" ") if w and "▁" not in w})
+    marked = ["▁" + w for w in words]
+    flat, n = codec.words(marked)
+    want = sp.encode(words)
+    assert len(words) > 5000 and [x.tolist() for x in np.split(flat, np.cumsum(n)[:-1])] == want
+    assert [codec._long(w).tolist() for w in marked[::7]] == want[::7]
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.text(alphabet="ab cthe ioné.\n日🎉▁", max_size=60), max_size=6))
 def test_codec_on_any_text(texts):
@@ -100,19 +119,19 @@ def test_codec_on_any_text(texts):
     codec = piece_codec._codec(PIECES)
     ids, n = codec.encode(pa.array(texts, pa.string()))
     assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])][: len(texts)] == sp.encode(texts)
-    assert codec.decode(ids, n).to_pylist() == sp.decode(sp.encode(texts))
+    assert codec.decode(ids, n).to_pylist() == [sp.decode(sp.encode(t)) for t in texts]
 
 
 def test_viterbi_over_merge_scores_differs():
-    """Why words are merged: the best path by score isn't what the model's merges give."""
-    codec = piece_codec._codec(PIECES)
+    """Why the recursion asks which pairs stand: the best path by score isn't what the model's merges give."""
+    codec, sp = piece_codec._codec(PIECES), sentencepiece.SentencePieceProcessor(model_file=PIECES)
 
     def viterbi(word):
         best = [(0.0, [])] + [(-math.inf, [])] * len(word)
         for end in range(1, len(word) + 1):
             for start in range(max(0, end - 16), end):
-                if (hit := codec.scores.get(word[start:end])) and best[start][0] + hit[0] > best[end][0]:
-                    best[end] = (best[start][0] + hit[0], [*best[start][1], hit[1]])
+                if (piece := codec.id_of.get(word[start:end])) and best[start][0] + sp.get_score(piece) > best[end][0]:
+                    best[end] = (best[start][0] + sp.get_score(piece), [*best[start][1], piece])
         return best[-1][1]
 
     words = ["▁retitioning", "▁thononouinwh", "▁enneration", "▁understanding"]
