@@ -17,28 +17,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _checkpoints(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, as ``spark.checkpoint.dir`` names it."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        # one machine: a temporary folder serves
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    return sc.getCheckpointDir()
+
+
 def settled(df: DataFrame) -> DataFrame:
     """The same rows, computed once and kept in the cluster's shared checkpoint folder.
 
-    The folder is the session's ``spark.checkpoint.dir``; a temporary one is set only where
-    the session names none, as in tests on one machine.
+    A temporary folder is set only where the session runs on one machine and names none; a cluster without one is an error.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+    _checkpoints(df.sparkSession)
     return df.checkpoint()
 
 
 def stored(df: DataFrame) -> DataFrame:
     """As ``settled``, as a Parquet table in the same folder: for many rows, which take less room so."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
-    path = f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
+    path = f"{_checkpoints(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def free_name(taken: list[str], name: str) -> str:
+    """``name``, with underscores before it until no column has it (Spark tells no case apart)."""
+    known = {c.lower() for c in taken}
+    while name.lower() in known:
+        name = f"_{name}"
+    return name
 
 
 def strings(column: pa.Array | pa.ChunkedArray) -> pa.Array:
@@ -84,8 +96,8 @@ def _places(values: np.ndarray, bits: int) -> list[np.ndarray]:
     return [((h ^ (h >> np.uint64(31))) * np.uint64(m) >> shift).astype(np.int64) for m in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)]
 
 
-def bitmap(values: DataFrame, count: int, most_bits: int = 1 << 28) -> np.ndarray:
-    """A Bloom filter over the one long column of ``values``: 16 bits a value, ``most_bits`` (a power of 2) at most.
+def bitmap(values: DataFrame, count: int, most_bits: int = 1 << 26) -> np.ndarray:
+    """A Bloom filter over the one long column of ``values``: 16 bits a value, ``most_bits`` (a power of 2) at most, so 8 MB.
 
     It is for leaving rows out early that a later join would drop; where it is full, it leaves fewer out.
     """

@@ -9,7 +9,7 @@ from .common import settled
 
 
 #: Neighbours from which a node's least one goes to every task instead of being joined, and the most such nodes.
-HEAVY, HEAVIES = 4096, 1 << 18
+HEAVY, HEAVIES = 512, 1 << 18
 
 
 def _with_least(rows: DataFrame, least: DataFrame, heavy: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import free_name, settled
 
 #: Up to so many boilerplate lines in all (16 bytes each) go to every task; more are joined by host.
 BROADCAST_LINES = 200_000
@@ -42,33 +42,35 @@ def line_dedup(docs: DataFrame, host: str = "source", ratio: float = 0.1, min_pa
     Lines are compared without white space at their ends, told apart by 128-bit hashes; blank lines
     always stay. A page counts once for a line however often it repeats it. A null host counts as the
     empty host; a null text stays null with 0 lines; an empty text is one blank line. Repeated rows are
-    pages of their own. Other columns pass through unchanged.
+    pages of their own. Other columns pass through unchanged, but n_lines and n_dropped take the place of columns of those names.
     """
     found = settled(boilerplate(docs, host, ratio, min_pages))
     size = found.agg(F.coalesce(F.sum(F.size("dropped")), F.lit(0))).first()[0]
-    small = found.select(F.col("host").alias("_host"), F.col("dropped").alias("_dropped"))
-    rows = docs.withColumn("_host", F.coalesce(F.col(host).cast("string"), F.lit("")))
-    rows = rows.join(F.broadcast(small) if size <= BROADCAST_LINES else small, "_host", "left")
+    at, dropped, kept = (free_name(docs.columns, name) for name in ("host_", "dropped_", "kept_"))
+    small = found.select(F.col("host").alias(at), F.col("dropped").alias(dropped))
+    rows = docs.withColumn(at, F.coalesce(F.col(host).cast("string"), F.lit("")))
+    rows = rows.join(F.broadcast(small) if size <= BROADCAST_LINES else small, at, "left")
     lines = _lines(F.col("text").cast("string"))
-    kept = F.filter(lines, lambda line: ~F.array_contains(F.col("_dropped"), _key(line)))
-    rows = rows.withColumn("_kept", F.when(F.col("_dropped").isNull(), lines).otherwise(kept))
+    rest = F.filter(lines, lambda line: ~F.array_contains(F.col(dropped), _key(line)))
+    rows = rows.withColumn(kept, F.when(F.col(dropped).isNull(), lines).otherwise(rest))
     count = lambda a: F.coalesce(F.when(F.col("text").isNotNull(), F.size(a)), F.lit(0)).cast("long")
-    rows = rows.withColumn("n_lines", count(lines)).withColumn("n_dropped", F.col("n_lines") - count(F.col("_kept")))
-    return rows.withColumn("text", F.array_join("_kept", "\n")).drop("_host", "_dropped", "_kept")
+    others = [F.array_join(kept, "\n").alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return rows.select(*others, count(lines).alias("n_lines"), (count(lines) - count(F.col(kept))).alias("n_dropped"))
 
 
 def sql(columns: str, ratio: float = 0.1, min_pages: int = 3, documents: str = "documents") -> str:
     """The same over ``documents`` with host ``source``, as DuckDB SQL that selects ``columns``."""
     return f"""
-WITH rows AS (SELECT *, coalesce(source, '') AS host, row_number() OVER () AS nr FROM {documents}),
-lines AS (SELECT nr, host, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM rows WHERE text IS NOT NULL),
+WITH numbered AS (SELECT *, row_number() OVER () AS line_dedup_nr FROM {documents}),
+pages AS (SELECT line_dedup_nr AS nr, coalesce(source, '') AS site, text AS body FROM numbered),
+lines AS (SELECT nr, site, unnest(string_split(body, chr(10))) AS line, unnest(range(len(string_split(body, chr(10))))) AS pos FROM pages WHERE body IS NOT NULL),
 keyed AS (SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS k FROM lines),
-counts AS (SELECT host, k, count(DISTINCT nr) AS n FROM keyed WHERE k <> '' GROUP BY host, k),
-totals AS (SELECT host, count(*) AS pages FROM rows GROUP BY host),
-bad AS (SELECT host, k FROM counts JOIN totals USING (host) WHERE n >= {min_pages} AND n > {ratio}::DOUBLE * pages),
+counts AS (SELECT site, k, count(DISTINCT nr) AS n FROM keyed WHERE k <> '' GROUP BY site, k),
+totals AS (SELECT site, count(*) AS total FROM pages GROUP BY site),
+bad AS (SELECT site, k FROM counts JOIN totals USING (site) WHERE n >= {min_pages} AND n > {ratio}::DOUBLE * total),
 kept AS (SELECT nr, count(*) AS n_lines, count(*) FILTER (WHERE bad.k IS NOT NULL) AS n_dropped,
   coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE bad.k IS NULL), '') AS new_text
-  FROM keyed LEFT JOIN bad ON keyed.host = bad.host AND keyed.k = bad.k GROUP BY nr),
-clean AS (SELECT rows.* EXCLUDE (text), kept.new_text AS text, coalesce(kept.n_lines, 0) AS n_lines, coalesce(kept.n_dropped, 0) AS n_dropped
-  FROM rows LEFT JOIN kept USING (nr))
+  FROM keyed LEFT JOIN bad ON keyed.site = bad.site AND keyed.k = bad.k GROUP BY nr),
+clean AS (SELECT numbered.* EXCLUDE (text, line_dedup_nr), kept.new_text AS text, coalesce(kept.n_lines, 0) AS n_lines, coalesce(kept.n_dropped, 0) AS n_dropped
+  FROM numbered LEFT JOIN kept ON numbered.line_dedup_nr = kept.nr)
 SELECT {columns} FROM clean"""

@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from .common import bitmap, in_bitmap, slices, stored, strings
+from .common import bitmap, free_name, in_bitmap, slices, stored, strings
 from .components import components
 
-SLICE_CHARS = 1_500_000
+SLICE_CHARS = 800_000
 #: Sets that share a key: up to so many are compared as pairs of rows; more are compared as blocks of so
 #: many sets or n-grams against each other inside a task, which emits only links that span them.
 PAIRED, BLOCK, BLOCK_GRAMS = 48, 512, 250_000
@@ -157,10 +157,12 @@ def global_order(docs: DataFrame, n: int) -> Order:
             texts = strings(batch.column(0))
             for low, high in slices(texts, SLICE_CHARS):
                 value = np.sort(shingle_sets(texts.slice(low, high - low), n)[0] >> np.uint64(64 - bits))
-                first = np.flatnonzero(np.append(True, value[1:] != value[:-1])[: len(value)])
+                if not len(value):
+                    continue
+                first = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
                 counts, value = np.diff(np.append(first, len(value))), value[first]
                 fragment = value >> within
-                begin = np.flatnonzero(np.append(True, fragment[1:] != fragment[:-1])[: len(fragment)])
+                begin = np.flatnonzero(np.append(True, fragment[1:] != fragment[:-1]))
                 gaps = np.append(value[:1], value[1:] - value[:-1])
                 gaps[begin] = value[begin] & ((np.uint64(1) << within) - np.uint64(1))
                 spans = list(zip(begin.tolist(), np.append(begin[1:], len(value)).tolist(), strict=True))
@@ -358,7 +360,7 @@ def one_of_each(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFram
     Of repeated rows one stays, of rows that differ under one doc_id one of each group. Rows with null or blank texts are
     groups of their own and stay; a row with a null doc_id stays where its group has no other. All columns, whatever their names, come back.
     """
-    uid = next(name for i in range(len(docs.columns) + 1) if (name := f"uid_{i}") not in docs.columns)
+    uid = free_name(docs.columns, "uid")
     rows = stored(docs.withColumn(uid, F.monotonically_increasing_id()))
     grouped = stored(_grouped(rows.select("doc_id", "text", F.col(uid).alias("uid")), n, round(threshold * 100)).where("label is not null"))
     first = grouped.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("first")).select(F.col("first.uid").alias(uid))

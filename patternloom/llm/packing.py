@@ -23,12 +23,12 @@ from pyspark.sql import functions as F
 from .common import ascii_words, gathered, settled, slices, strings
 
 #: Characters of text that are tokenized at a time, and words that a worker remembers.
-SLICE_CHARS, REMEMBERED = 8_000_000, 800_000
+SLICE_CHARS, REMEMBERED = 1_500_000, 150_000
 #: Marks that end words, letters and digits of Latin scripts, and the last of these.
 MARKS, LATIN = ".,;:!?*%#$&|", "\u024f"
 ALNUM = "".join(c for c in map(chr, range(ord(LATIN) + 1)) if c.isalpha() or c.isdecimal())
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PACKED = PIECES + ", part long, bin long, offset long, fill long, part_bins long, part_bound long"
+PACKED = PIECES + ", nr long, part long, bin long, offset long, fill long, part_bins long, part_bound long"
 
 
 class WordTokenizer:
@@ -170,42 +170,41 @@ def bin_bound(lengths: np.ndarray, capacity: int) -> int:
     return best
 
 
-def pack(pieces: DataFrame, capacity: int = 4096, part_items: int = 16_384, slack: float = 0.99, rounds: int = 6) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 4096, part_items: int = 16_384, slack: float = 0.99) -> DataFrame:
     """Sequences for the rows of ``pieces`` (PIECES): adds part, bin, offset and sequence_id.
 
-    ``part_items`` bounds the pieces that one task packs. A round hands on the pieces of every
-    partition whose bin count exceeds its lower bound, and of bins filled below ``slack``; they are
-    dealt anew into as many partitions as they need. A round counts only if it saves a bin.
+    ``part_items`` is about how many pieces one task packs: rows are dealt by their own numbers, so equal ones spread too. A
+    round hands on the pieces of every partition whose bin count exceeds its lower bound, and of bins filled below ``slack``;
+    they are dealt anew into as many partitions as they need. Rounds go on as long as each saves a bin.
     An empty input gives no rows.
     """
-    spark = pieces.sparkSession
 
     def packed(group: pd.DataFrame) -> pd.DataFrame:
         lengths = group["length"].to_numpy(np.int64)
         bins, offsets, fills = best_fit_decreasing(lengths, capacity)
         return group.assign(bin=bins, offset=offsets, fill=fills[bins], part_bins=len(fills), part_bound=bin_bound(lengths, capacity))
 
-    pool, kept, before = settled(pieces), [], None
-    for number in range(rounds + 1):
+    fields = [*(c.split()[0] for c in PIECES.split(", ")), "nr"]
+    pool, kept, before, first_part = settled(pieces.withColumn("nr", F.monotonically_increasing_id())), [], None, 0
+    while True:
         rows, tokens = pool.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
         if before is not None and (not rows or -(-tokens // capacity) >= before):
             break
         parts = max(1, -(-rows // part_items))
-        dealt = pool.select(*(c.split()[0] for c in PIECES.split(", ")), F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(number)), F.lit(parts)).alias("part"))
-        now = settled(dealt.groupBy("part").applyInPandas(packed, PACKED)).withColumn("round", F.lit(number))
+        dealt = pool.select(*fields, (F.lit(first_part) + F.pmod(F.xxhash64("nr", F.lit(len(kept))), F.lit(parts))).alias("part"))
+        now = settled(dealt.groupBy("part").applyInPandas(packed, PACKED))
         if before is not None and now.where("offset = 0").count() >= before:
             break
         if before is not None:
             kept[-1] = kept[-1].where(~slack_of(capacity, slack))
         kept.append(now)
+        first_part += parts
         pool = now.where(slack_of(capacity, slack))
         before = pool.where("offset = 0").count()
     out = kept[0]
     for more in kept[1:]:
         out = out.unionByName(more)
-    del spark
-    sequence = F.shiftleft(F.col("round").cast("long"), 58) + F.shiftleft(F.col("part"), 20) + F.col("bin")
-    return out.withColumn("sequence_id", sequence)
+    return out.withColumn("sequence_id", F.shiftleft(F.col("part"), 24) + F.col("bin"))
 
 
 def slack_of(capacity: int, slack: float):

@@ -17,9 +17,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_words, settled, slices, strings
+from .common import ascii_words, bitmap, free_name, in_bitmap, settled, slices, strings
 
-SLICE_CHARS = 6_000_000
+SLICE_CHARS = 1_500_000
 #: Classes of bytes whose shares are statistics.
 _GROUPS = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " ", "\n", "\t\r", ".", ",", "!?", ";:", "'\"", "()[]{}", "|", "*#$%&@", "<>/\\=+_~^`-"]
 _OTHER, _WIDE, CLASSES = len(_GROUPS), len(_GROUPS) + 1, len(_GROUPS) + 2
@@ -33,7 +33,7 @@ FOLDS, BINS, LAMBDAS = 5, 2048, (1e-3, 1e-2, 1e-1, 1.0, 10.0)
 
 
 def statistics(texts: pa.Array) -> np.ndarray:
-    """A row of numbers for every text; for an empty one all are defined too."""
+    """A row of numbers for every text; for an empty one all are defined too. The squares of word lengths stop at 100 bytes a word."""
     n = len(texts)
     flat, sizes = np.frombuffer(b"".join(texts.cast(pa.binary()).to_pylist()), np.uint8), np.asarray(pc.binary_length(texts)).astype(np.int64)
     classes, row = _CLASS[flat], np.repeat(np.arange(n), sizes)
@@ -98,10 +98,13 @@ def labelled_statistics(docs: DataFrame, labels: DataFrame, train_mod: int = 3,
     """x, y, fold of the documents that may teach: those with a label and crc32(doc_id) mod ``train_mod`` other than ``held_out``."""
     crc = F.crc32(F.col("doc_id").cast("long").cast("string"))
     known = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("quality").alias("y"))
-    known = known.where(F.pmod(crc, F.lit(train_mod)) != held_out)
+    known = settled(known.where(F.pmod(crc, F.lit(train_mod)) != held_out))
+    # most texts without a label are left out before their statistics are made; the join drops the others
+    labelled = docs.sparkSession.sparkContext.broadcast(bitmap(known.select("doc_id"), known.count()))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(in_bitmap(labelled.value, np.asarray(batch.column(0)))))
             texts = strings(batch.column(1))
             for low, high in slices(texts, SLICE_CHARS):
                 x = statistics(texts.slice(low, high - low))
@@ -176,8 +179,11 @@ def fit(docs: DataFrame, labels: DataFrame, dim: int = 192, seed: int = 7) -> Mo
     return Model(mean, scale, empty.directions, empty.phases, solved(whole, ridge), np.concatenate([[-0.6], knots, [1.6]]), np.concatenate([[max(0.0, levels[0] - 0.01)], levels, [min(1.0, levels[-1] + 0.01)]]))
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with quality_score added, from whole texts; a null text counts as empty. Other columns pass through."""
+def scored(docs: DataFrame, model: Model, name: str = "quality_score") -> DataFrame:
+    """``docs`` with the score added as ``name``, from whole texts; a null text counts as empty. Other columns pass through.
+
+    ``name`` must not be a column of ``docs``; see ``free_name``.
+    """
     fields = docs.columns
     text = fields.index("text")
 
@@ -186,11 +192,17 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             texts = strings(batch.column(text))
             for low, high in slices(texts, SLICE_CHARS):
                 part = batch.slice(low, high - low)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.score(statistics(texts.slice(low, high - low))))], [*fields, "quality_score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.score(statistics(texts.slice(low, high - low))))], [*fields, name])
 
     from pyspark.sql.types import DoubleType, StructType
 
-    return docs.mapInArrow(score, StructType([*docs.schema.fields]).add("quality_score", DoubleType()))
+    return docs.mapInArrow(score, StructType([*docs.schema.fields]).add(name, DoubleType()))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that a model fitted on their own labelled rows scores ``least`` or more; all columns, whatever their names."""
+    name = free_name(docs.columns, "quality_score")
+    return scored(docs, fit(docs, labels), name).where(F.col(name) >= least).select(*docs.columns)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, dim: int = 192) -> DataFrame:

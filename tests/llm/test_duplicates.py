@@ -107,7 +107,7 @@ def shingle_words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", text.translate(LOWER))
 
 
-@pytest.mark.parametrize("heavy", [4096, 2])
+@pytest.mark.parametrize("heavy", [512, 2])
 def test_components(spark, heavy, monkeypatch):
     monkeypatch.setattr(components_module, "HEAVY", heavy)
     r = random.Random(2)
