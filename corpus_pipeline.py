@@ -27,17 +27,25 @@ def _share_code(spark: SparkSession) -> None:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, fitted on the labels of this stage's own input, doesn't reject."""
+    """Documents that the quality classifier, fitted on the labels of this stage's own input, doesn't reject.
+
+    Null and empty texts are scored as empty ones; repeated rows are judged alike; without labels all scores are 0.5 and all rows
+    stay; an empty table stays empty. All columns, also ones named as the score, come back.
+    """
     _share_code(spark)
-    model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.scored(docs, model).where(F.col("quality_score") >= LEAST_QUALITY).select(*docs.columns)
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"), LEAST_QUALITY)
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that their source repeats; n_chars follows the text."""
+    """Documents without the lines that their source repeats; n_chars follows the text.
+
+    A null text stays null with a null n_chars; a null source is a source; repeated rows are pages of their own; all
+    rows and columns come back, columns that have the names of the operator's counts included.
+    """
     _share_code(spark)
-    clean = line_dedup.line_dedup(docs, host="source")
-    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    clean = line_dedup.line_dedup(docs.select("source", "text", F.struct(*docs.columns).alias("row")), host="source")
+    of = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)}
+    return clean.select(*(of.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +59,10 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents that are left, with their places in training sequences."""
+    """The pieces of all documents that are left, with their places in training sequences.
+
+    A null or empty text is the end id alone, a null doc_id stays null, repeated rows are packed each; no documents, no pieces.
+    """
     _share_code(spark)
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
