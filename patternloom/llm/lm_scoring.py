@@ -1,8 +1,8 @@
 """Operator 10: language-model scores by a hidden Markov model.
 
-Words are counted over the training documents. Each that is seen twice is a symbol of its own, the
-others are grouped by their endings, with a Good-Turing share for words never seen. Emissions of the most
-frequent symbols go to every task, those of the others are a table that is joined in each round.
+Words are counted over the training documents. Each that is seen ``OWN`` times is a symbol of its own, whatever the size of the corpus; the
+rarer ones are grouped by their endings, within which they follow their counts, with a Good-Turing share for words never seen: all of
+these are one token a group. Emissions of the most frequent symbols go to every task, those of the others are a table that is joined in each round.
 Baum-Welch sums expected counts per partition and then by symbol; scoring runs
 the scaled forward recursion over each whole text, so a score is the exact log likelihood.
 """
@@ -23,10 +23,12 @@ from pyspark.sql import functions as F
 
 from .common import ascii_words, settled, slices, stored, strings
 
-SLICE_CHARS = 6_000_000
+SLICE_CHARS = 1_500_000
+#: Occurrences that give a word emissions of its own. Six states' shares of a rarer word could not be told from chance.
+OWN = 32
 #: Words whose emissions and whose counts may go to every task (those of rarer ones are joined), groups of endings
-#: of the words seen once, tokens of a training window, tokens that are worked on at a time.
-SYMBOLS, ENDINGS, HEAD, WINDOW, BATCH = 1 << 19, 1_024, 1 << 19, 512, 400_000
+#: of the words without emissions of their own, tokens that are worked on at a time, tokens from which sequences are long: those are worked on apart from others.
+SYMBOLS, ENDINGS, HEAD, BATCH, LONG = 1 << 19, 1_024, 1 << 19, 400_000, 2_048
 #: Part of a state's distribution that follows the corpus instead of the state.
 BACKOFF = 0.02
 
@@ -121,14 +123,14 @@ def vocabulary(counts: DataFrame, documents: int) -> Vocabulary:
     hashes, c = np.asarray(head["h"]).astype(np.int64), np.asarray(head["c"]).astype(np.int64)
     order = np.argsort(hashes)
     hashes, c = hashes[order], c[order]
-    own = c >= 2  # words seen once stand for those never seen
+    own = c >= OWN  # words seen once stand for those never seen
     symbols = np.where(own, np.cumsum(own) - 1, -1).astype(np.int32)
-    groups = counts.where(F.col("c") < 2).groupBy("ending").agg(F.sum("c").alias("c"), F.count_if(F.col("c") == 1).alias("once")).collect()
+    groups = counts.where(F.col("c") < OWN).groupBy("ending").agg(F.sum("c").alias("c"), F.count_if(F.col("c") == 1).alias("once")).collect()
     group_tokens, once = np.zeros(ENDINGS), np.zeros(ENDINGS)
     for r in groups:
         group_tokens[r["ending"]], once[r["ending"]] = r["c"], r["once"]
     tokens = np.concatenate([c[own], group_tokens, [documents]]).astype(float)
-    tail = counts.where((F.col("c") >= 2) & (F.col("c") < (int(c.min()) if len(c) else 1 << 62))).agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
+    tail = counts.where((F.col("c") >= OWN) & (F.col("c") < (int(c.min()) if len(c) else 1 << 62))).agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
     return Vocabulary(hashes, c, symbols, int(total[1]) + documents, int(total[0]) + (documents > 0), documents, group_tokens, once, tokens, int(tail[0]), int(tail[1]))
 
 
@@ -231,16 +233,18 @@ def expected_counts(model: Hmm, parts: list[np.ndarray]) -> tuple[np.ndarray, np
     return gamma.sum(0), moves * model.moves, emitted
 
 
-def _grouped(sequences: Iterator[np.ndarray]) -> Iterator[list[np.ndarray]]:
-    group, size = [], 0
-    for s in sequences:
-        group.append(s)
-        size += len(s)
-        if size >= BATCH:
+def _grouped(sequences: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """Whole sequences in groups of about ``BATCH`` tokens, long ones together: a step of the recursion then has many."""
+    for some in ([s for s in sequences if len(s) < LONG], [s for s in sequences if len(s) >= LONG]):
+        group, size = [], 0
+        for s in some:
+            group.append(s)
+            size += len(s)
+            if size >= BATCH:
+                yield group
+                group, size = [], 0
+        if group:
             yield group
-            group, size = [], 0
-    if group:
-        yield group
 
 
 TAIL = "tail array<struct<h:long,c:long,places:array<int>,emits:array<double>>>"
@@ -274,7 +278,7 @@ def _joined(rows: DataFrame, tail: DataFrame | None, table: DataFrame | None) ->
 
 
 def train(read: DataFrame, v: Vocabulary, tail: DataFrame | None, states: int = 6, rounds: int = 5, seed: int = 5) -> tuple[Hmm, DataFrame | None]:
-    """Baum-Welch over all training documents, in windows of ``WINDOW`` tokens that together hold every token.
+    """Baum-Welch over all training documents, each whole.
 
     ``tail(uid, h, c, places)`` are the tokens of joined symbols. Beside the model comes those symbols' ``h, emits``.
     """
@@ -297,7 +301,7 @@ def train(read: DataFrame, v: Vocabulary, tail: DataFrame | None, states: int =
             for batch in batches:
                 model, parts, words, counts = _with_tail(now, batch)
                 more = np.zeros((len(words), states))
-                for group in _grouped(s[i : i + WINDOW] for s in parts for i in range(0, len(s), WINDOW)):
+                for group in _grouped(parts):
                     a, b, c = expected_counts(model, group)
                     starts += a
                     moves += b
@@ -337,7 +341,8 @@ def lm_scores(docs: DataFrame, states: int = 6, rounds: int = 5) -> DataFrame:
 
     Documents whose crc32(doc_id) mod 5 is 1 are held out, all others teach. Tokens are lower-cased words and one end. A null text counts as
     empty: the end alone. Rows without doc_id teach and are not held out; repeated rows count as often as they
-    stand and each get a row. Without training documents the score is the base score.
+    stand and each get a row. Without training documents the score is the base score. Texts are never cut, in training neither; a task
+    holds some 200 bytes for each token of its longest text. All words of a group that training never saw are one token of the model.
     """
     sc = docs.sparkSession.sparkContext
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -353,7 +358,7 @@ def lm_scores(docs: DataFrame, states: int = 6, rounds: int = 5) -> DataFrame:
     tail = None
     if v.tail_words:
         joined = stored(joined)
-        tail = joined.where("c0 >= 2").select("uid", "h", "c", "places")
+        tail = joined.where(F.col("c0") >= OWN).select("uid", "h", "c", "places")
     if v.tokens:
         model, table = train(read, v, tail, states, rounds)
         shared = sc.broadcast(model)
@@ -361,13 +366,17 @@ def lm_scores(docs: DataFrame, states: int = 6, rounds: int = 5) -> DataFrame:
         def forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 now, parts, _, _ = _with_tail(shared.value, batch)
-                yield pa.RecordBatch.from_arrays([*batch.columns[2:8], batch.column("uid"), pa.array(log10_likelihoods(now, parts))], ["doc_id", "held_out", "n_tokens", "known", "base", "share", "uid", "log"])
+                logs = np.empty(len(parts))
+                long = np.array([len(p) >= LONG for p in parts], bool)
+                for of in (long, ~long):
+                    logs[of] = log10_likelihoods(now, [parts[i] for i in np.flatnonzero(of)])
+                yield pa.RecordBatch.from_arrays([*batch.columns[2:8], batch.column("uid"), pa.array(logs)], ["doc_id", "held_out", "n_tokens", "known", "base", "share", "uid", "log"])
 
         rows = _joined(read.select("uid", "symbols", "doc_id", "held_out", "n_tokens", "known", "base", "share"), tail, table)
         scored = rows.select("uid", "symbols", "doc_id", "held_out", "n_tokens", "known", "base", "share", "tail").mapInArrow(forward, "doc_id long, held_out boolean, n_tokens long, known long, base double, share double, uid long, log double")
     else:
         scored = read.select("doc_id", "held_out", "n_tokens", "known", "base", "share", "uid", F.lit(0.0).alias("log"))
-    share = F.when(F.col("c0") > 1, -F.col("known")).when(F.col("c0") > 0, 0.0).otherwise(F.col("unseen"))
+    share = F.when(F.col("c0") >= OWN, -F.col("known")).when(F.col("c0") > 0, F.log10(F.greatest("c0", F.lit(1)))).otherwise(F.col("unseen"))
     more = joined.groupBy("uid").agg(F.sum(F.when(F.col("c0") > 0, F.col("n")).otherwise(0)).alias("more_known"), F.sum(F.col("n") * F.log10((F.col("c0") + 0.5) / divisor)).alias("more_base"), F.sum(F.col("n") * share).alias("more_share"))
     out = scored.join(more, "uid", "left")
     base = F.col("base") + F.coalesce("more_base", F.lit(0.0))

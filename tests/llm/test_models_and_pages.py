@@ -26,7 +26,8 @@ def test_url_rules_equal_sql(spark):
 
 
 def test_cascade_is_exact_where_filters_err(spark, monkeypatch):
-    monkeypatch.setattr(url_filter, "BITS", 2)  # many false positives, several levels
+    monkeypatch.setattr(url_filter, "SHARE", 1 / 2)  # many false positives, several levels
+    monkeypatch.setattr(url_filter, "first_share", lambda listed, others: 1 / 2)
     from pyspark.sql import functions as F
 
     keys = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key"), (F.col("id") % 7 == 0).alias("listed")).select("key", "listed", F.xxhash64("key").alias("x"), F.xxhash64(F.lit("#"), "key").alias("y"))
@@ -36,6 +37,19 @@ def test_cascade_is_exact_where_filters_err(spark, monkeypatch):
     assert (cascade.listed(rows["x"].to_numpy(), rows["y"].to_numpy()) == rows["listed"].to_numpy()).all()
 
 
+def test_first_filter_follows_the_universe():
+    """However many other keys there are, the first filter lets through about as many of them as it lists."""
+    for others in (10**3, 10**6, 10**10):
+        share = url_filter.first_share(100, others)
+        assert share * others <= 101 and url_filter.filter_shape(100, share)[0] <= 100 * 60
+    assert url_filter.filter_shape(0, 0.5)[0] == 64
+
+
+def test_url_without_rules(spark):
+    df = spark.createDataFrame([(1, "http://a.com/x", "r")], "page_id long, url string, rule string")
+    assert [tuple(r) for r in url_filter.url_verdicts(df, []).collect()] == [(1, "a.com", "/x", None, "allow")]
+
+
 def test_html(spark):
     page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p><p>no";</script></head><body>
     <nav><ul><li><a href="/a">menu</a></ul></nav><!-- <p>hidden</p> --><div class="ad">buy</div>
@@ -169,6 +183,41 @@ def words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))) + [None]
 
 
+def test_lm_score_is_its_model(spark, monkeypatch):
+    """The whole score by hand: the chain's likelihood over symbols, times each word's share of its group."""
+    monkeypatch.setattr(lm_scoring, "OWN", 3)
+    texts = ["to be or not to be", "to be a bee or a tree", "be a bee to a tree or two", "once upon a time to be", "new words in zzz"]
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5 != 1][:4] + [next(i for i in range(40) if zlib.crc32(str(i).encode()) % 5 == 1)]
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(2)
+    kept, train = [], lm_scoring.train
+    monkeypatch.setattr(lm_scoring, "train", lambda *args: kept.append((args[1], train(*args))) or kept[-1][1])
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.lm_scores(docs, states=2, rounds=2).collect()}
+    v, (model, _) = kept[0]
+    import pyarrow as pa
+
+    counts = collections.Counter(w for i, t in zip(ids[:4], texts, strict=False) for w in t.split())
+    group = lambda w: int(lm_scoring._endings(pa.array([w]))[0])
+    rare = [w for w in counts if counts[w] < 3]
+    tokens, once = collections.Counter(), collections.Counter()
+    for w in rare:
+        tokens[group(w)] += counts[w]
+        once[group(w)] += counts[w] == 1
+    own = {int(h): s for h, s in zip(v.hashes, v.symbols, strict=True) if s >= 0}
+    assert len(own) == sum(n >= 3 for n in counts.values())
+    for i, text in zip(ids, texts, strict=True):
+        symbols, share = [], 0.0
+        for w in text.split():
+            h = int(lm_scoring._word_hashes(pa.array([w]))[0])
+            if h in own:
+                symbols.append(own[h])
+                continue
+            g = group(w)
+            unseen = (once[g] + 0.5) / (tokens[g] + once[g] + 1)
+            share += math.log10(unseen if w not in counts else (1 - unseen) * counts[w] / tokens[g])
+            symbols.append(len(own) + g)
+        assert math.isclose(got[i], math.log10(all_paths(model, [*symbols, len(own) + lm_scoring.ENDINGS])) + share, rel_tol=1e-9)
+
+
 @pytest.mark.parametrize("head", [1 << 19, 300])
 def test_lm_scores(spark, monkeypatch, head):
     monkeypatch.setattr(lm_scoring, "HEAD", head)
@@ -193,6 +242,7 @@ def test_lm_scores(spark, monkeypatch, head):
 
 
 def test_lm_emissions_of_all_words(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "OWN", 2)
     texts = ["aa xone aa xone", "bb yone bb yone", "aa xtwo aa xtwo", "bb ytwo bb ytwo"] * 8
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     score = lambda: {r["doc_id"]: r["score"] for r in lm_scoring.lm_scores(docs, states=2, rounds=1).collect()}
@@ -220,6 +270,11 @@ def test_lm_corner_cases(spark):
     assert len(twice) == 3
 
 
+def test_long_sequences_are_grouped_apart():
+    parts = [np.zeros(n, np.int32) for n in (5, 3000, 7, 2048, 2047)]
+    assert [[len(x) for x in g] for g in lm_scoring._grouped(parts)] == [[5, 7, 2047], [3000, 2048]]
+
+
 def all_paths(model, symbols):
     k = len(model.start)
     return sum(model.start[p[0]] * math.prod(model.moves[a, b] for a, b in itertools.pairwise(p)) * math.prod(model.emits[s, x] for s, x in zip(symbols, p, strict=True)) for p in itertools.product(range(k), repeat=len(symbols)))
