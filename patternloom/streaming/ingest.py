@@ -14,11 +14,14 @@ from ..plans.store import Store
 
 
 def into_store(messages: DataFrame, store: Store, checkpoint: str, words: list[str] | None = None, available_now: bool = True) -> StreamingQuery:
-    """Starts the stream ``messages(epoch_us, host, body)`` into a store. A batch that is repeated after a failure counts once."""
-    first = store._state()["batch"] + 1
+    """Starts the stream ``messages(epoch_us, host, body)`` into a store.
+
+    The store remembers the last batch of each stream, which its checkpoint folder names; so a batch that is repeated
+    after a failure or a restart counts once, whatever else changed the store in between.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
-        store.ingest(batch, words, first + number)
+        store.ingest(batch, words, number, stream=checkpoint)
 
     writer = messages.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
