@@ -3,7 +3,7 @@
 Words are counted over the training documents. Each that is seen ``OWN`` times is a symbol of its own, whatever the size of the corpus; the
 rarer ones are grouped by their endings, within which they follow their counts, with a Good-Turing share for words never seen: all of
 these are one token a group. Emissions of the most frequent symbols go to every task, those of the others are a table that is joined in each round.
-Baum-Welch sums expected counts per partition and then by symbol; scoring runs
+Baum-Welch sums expected counts per partition and then by symbol (a partition's emissions travel as a sum and shares in 255ths); scoring runs
 the scaled forward recursion over each whole text, so a score is the exact log likelihood.
 """
 
@@ -14,10 +14,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +30,8 @@ OWN = 32
 #: Words whose emissions and whose counts may go to every task (those of rarer ones are joined), groups of endings
 #: of the words without emissions of their own, tokens that are worked on at a time, tokens from which sequences are long: those are worked on apart from others.
 SYMBOLS, ENDINGS, HEAD, BATCH, LONG = 1 << 19, 1_024, 1 << 19, 400_000, 2_048
+#: Symbols whose expected emissions travel together, and tasks whose sums one task adds up.
+BUCKET, SUMMED = 1024, 512
 #: Part of a state's distribution that follows the corpus instead of the state.
 BACKOFF = 0.02
 
@@ -247,6 +250,32 @@ def _grouped(sequences: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
             yield group
 
 
+def _packed(emitted: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Expected emissions by buckets of ``BUCKET`` symbols: of each symbol its place, its sum over the states, and their shares in 255ths."""
+    full = np.flatnonzero(emitted.any(1))
+    total = emitted[full].sum(1)
+    shares, place = np.rint(emitted[full] / total[:, None] * 255).astype(np.uint8), (full % BUCKET).astype(np.uint16)
+    buckets, begin = np.unique(full // BUCKET, return_index=True)
+    ends = np.append(begin[1:], len(full))[: len(begin)]
+    return buckets, [place[a:b].tobytes() + total[a:b].astype(np.float32).tobytes() + shares[a:b].tobytes() for a, b in zip(begin.tolist(), ends.tolist(), strict=True)]
+
+
+def _unpacked(raw: bytes, states: int) -> np.ndarray:
+    n = len(raw) // (6 + states)
+    place, total = np.frombuffer(raw, np.uint16, n), np.frombuffer(raw[2 * n : 6 * n], np.float32)
+    shares = np.frombuffer(raw, np.uint8, n * states, 6 * n).reshape(n, states).astype(float)
+    out = np.zeros((BUCKET, states))
+    out[place] = shares / shares.sum(1, keepdims=True) * total[:, None]
+    return out
+
+
+def _sum_of(group: pd.DataFrame, states: int, packed: bool) -> pd.DataFrame:
+    """The sum of a group's parts of one bucket; bucket -1 has moves and starts."""
+    bucket = int(group["bucket"].iloc[0])
+    parts = (_unpacked(raw, states) if packed and bucket >= 0 else np.frombuffer(raw, float) for raw in group["sums"])
+    return pd.DataFrame({"bucket": [bucket], "sums": [sum(parts).tobytes()]})
+
+
 TAIL = "tail array<struct<h:long,c:long,places:array<int>,emits:array<double>>>"
 
 
@@ -292,6 +321,7 @@ def train(read: DataFrame, v: Vocabulary, tail: DataFrame | None, states: int =
     table = None if tail is None else tail.groupBy("h").agg(F.first("c").alias("c")).select("h", F.array(*[share] * states).alias("emits"))
     learning = None if tail is None else tail.join(rows.select("uid"), "uid", "left_semi")
     names = [f"s{s}" for s in range(states)]
+    salts = -(-rows.rdd.getNumPartitions() // SUMMED)
     for _ in range(rounds):
         shared = sc.broadcast(model)
 
@@ -308,28 +338,36 @@ def train(read: DataFrame, v: Vocabulary, tail: DataFrame | None, states: int =
                     emitted += c[: len(emitted)]
                     more += c[len(emitted) :]
                 if len(words):
-                    yield pa.RecordBatch.from_arrays([pa.nulls(len(words), pa.int32()), pa.array(words), pa.array(counts), *(pa.array(more[:, s].astype(np.float32)) for s in range(states))], ["key", "h", "c", *names])
-            full = np.flatnonzero(emitted.any(1))
-            sums = np.concatenate([emitted[full], moves, starts[None]])
-            keys = np.concatenate([full, len(emitted) + np.arange(states + 1)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.nulls(len(keys), pa.int64()), pa.nulls(len(keys), pa.int64()), *(pa.array(sums[:, s].astype(np.float32)) for s in range(states))], ["key", "h", "c", *names])
-
-        found = _joined(rows, learning, table).select("symbols", "tail").mapInArrow(partial, "key int, h long, c long, " + ", ".join(f"{s} float" for s in names))
-        found = found.groupBy("key", "h").agg(F.max("c").alias("c"), *(F.sum(s).alias(s) for s in names))
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(words), pa.int32()), pa.nulls(len(words), pa.int32()), pa.nulls(len(words), pa.binary()), pa.array(words), pa.array(counts), *(pa.array(more[:, s].astype(np.float32)) for s in range(states))], ["bucket", "salt", "sums", "h", "c", *names])
+            buckets, packed = _packed(emitted)
+            salt = np.full(len(buckets) + 1, TaskContext.get().partitionId() % salts, np.int32)
+            sums = pa.array([*packed, np.concatenate([moves, starts[None]]).tobytes()], pa.binary())
+            none = [pa.nulls(len(salt), pa.int64()), pa.nulls(len(salt), pa.int64()), *(pa.nulls(len(salt), pa.float32()) for _ in names)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(buckets, -1).astype(np.int32)), pa.array(salt), sums, *none], ["bucket", "salt", "sums", "h", "c", *names])
+
+        found = _joined(rows, learning, table).select("symbols", "tail").mapInArrow(partial, "bucket int, salt int, sums binary, h long, c long, " + ", ".join(f"{s} float" for s in names))
         if tail is not None:
             found = stored(found)
-        sums = found.where("key is not null").select("key", *names).toArrow()
-        dense = np.zeros((len(corpus) + states + 1, states))
-        dense[np.asarray(sums["key"])] = np.stack([np.asarray(sums[s]) for s in names], 1)
-        emitted, moves, starts = dense[: len(corpus)], dense[len(corpus) : -1] + 0.1, dense[-1] + 0.1
+            by_word = found.where("bucket is null").groupBy("h").agg(F.max("c").alias("c"), *(F.sum(s).alias(s) for s in names))
+        summed = found.where("bucket is not null").groupBy("bucket", "salt").applyInPandas(lambda g: _sum_of(g, states, True), "bucket int, sums binary")
+        if salts > 1:
+            summed = summed.groupBy("bucket").applyInPandas(lambda g: _sum_of(g, states, False), "bucket int, sums binary")
+        emitted = np.zeros((-(-len(corpus) // BUCKET) * BUCKET, states))
+        for r in summed.toArrow().to_pylist():
+            part = np.frombuffer(r["sums"], float).reshape(-1, states)
+            if r["bucket"] < 0:
+                moves, starts = part[:-1] + 0.1, part[-1] + 0.1
+            else:
+                emitted[r["bucket"] * BUCKET : (r["bucket"] + 1) * BUCKET] = part
+        emitted = emitted[: len(corpus)]
         of_state = emitted.sum(0)
         if tail is not None:
-            of_state = of_state + np.array([x or 0.0 for x in found.where("key is null").agg(*(F.sum(s) for s in names)).first()])
+            of_state = of_state + np.array([x or 0.0 for x in by_word.agg(*(F.sum(s) for s in names)).first()])
         of_state = np.maximum(of_state, 1e-9)
         model = replace(model, start=starts / starts.sum(), moves=moves / moves.sum(1, keepdims=True), emits=(1 - BACKOFF) * emitted / of_state + BACKOFF * corpus[:, None])
         if tail is not None:
             learned = F.array(*((1 - BACKOFF) / float(of_state[i]) * F.col(s) + BACKOFF * share for i, s in enumerate(names)))
-            table = found.where("key is null").select("h", learned.alias("emits"))
+            table = stored(by_word.select("h", learned.alias("emits")))
         shared.unpersist()
         if tail is not None:
             sc._jvm.System.gc()  # the shuffle files of rounds that are done go

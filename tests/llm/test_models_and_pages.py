@@ -270,6 +270,17 @@ def test_lm_corner_cases(spark):
     assert len(twice) == 3
 
 
+def test_expected_emissions_travel(spark):
+    import pandas as pd
+
+    r = np.random.default_rng(1)
+    parts = [r.gamma(0.3, 50, (3000, 6)) * (r.random((3000, 1)) < 0.5) for _ in range(3)]
+    rows = [(b, raw) for x in parts for b, raw in zip(*lm_scoring._packed(x), strict=True)]
+    got = np.concatenate([np.frombuffer(lm_scoring._sum_of(pd.DataFrame([x for x in rows if x[0] == b], columns=["bucket", "sums"]), 6, True)["sums"][0], float).reshape(-1, 6) for b in range(3)])[:3000]
+    want = sum(parts)
+    assert np.allclose(got.sum(1), want.sum(1), rtol=1e-5) and (np.abs(got - want) <= want.sum(1, keepdims=True) / 100).all()
+
+
 def test_long_sequences_are_grouped_apart():
     parts = [np.zeros(n, np.int32) for n in (5, 3000, 7, 2048, 2047)]
     assert [[len(x) for x in g] for g in lm_scoring._grouped(parts)] == [[5, 7, 2047], [3000, 2048]]
