@@ -42,6 +42,13 @@ def test_run_is_its_stages(spark):
     assert len(queries.queries()) == 10
 
 
+def test_queries_are_registered():
+    import __spark_entry__
+
+    known = __spark_entry__.queries()
+    assert {*queries.queries(), "pipeline"} <= known.keys() and {"op2_line_dedup", "op5_url_filters"} <= __spark_entry__.oracle_sql().keys()
+
+
 def test_stages_on_odd_rows(spark):
     kind = "doc_id long, text string, lang string, source string, n_chars long, uid long, quality_score string, n_lines int, host string"
     long = " ".join(f"w{i}" for i in range(40))
