@@ -4,6 +4,7 @@ import re
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from patternloom.llm import embedding_dedup, fingerprints, line_dedup, ngram_join
@@ -140,6 +141,32 @@ def test_embeddings(spark, monkeypatch):
     assert embedding_dedup.embedding_dedup(df.limit(0)).count() == 0
 
 
+def test_embeddings_lose_no_link(spark):
+    """20,000 vectors, many pairs just above and below the threshold, against brute force: seven bits a table and 22 tables."""
+    r = np.random.default_rng(8)
+    centre = r.normal(size=(4000, 64))
+    x = np.concatenate([centre, np.repeat(centre[:800], 20, axis=0) + r.normal(size=(16000, 64)) * r.uniform(0.15, 0.35, (16000, 1))]).astype(np.float32)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    counts, label = np.zeros(len(x), np.int64), {i: i for i in range(len(x))}
+    links = []
+    for low in range(0, len(x), 2000):
+        p, q = np.nonzero(u[low : low + 2000] @ u.T >= 0.95)
+        p, q = p[p + low != q] + low, q[p + low != q]
+        np.add.at(counts, p, 1)
+        links += [*zip(p.tolist(), q.tolist(), strict=True)]
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            if label[a] != label[b]:
+                label[a] = label[b] = min(label[a], label[b])
+                changed = True
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": x.tolist()}), "vec_id long, embedding array<float>")
+    got = embedding_dedup.embedding_dedup(df).toPandas().sort_values("vec_id")
+    assert embedding_dedup.table_plan(len(x), 0.95)[0] == 7 and len(links) > 10_000
+    assert (got["n_links"].to_numpy() == counts).all() and got["component_id"].tolist() == [label[i] for i in range(len(x))]
+
+
 def jaccard(a, b):
     return 1.0 if not a | b else len(a & b) / len(a | b)
 
