@@ -54,12 +54,14 @@ def read_dictionary(spark: SparkSession, path: str, types: str) -> DataFrame:
 
 
 def read_typed_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """``tkn_text, type_mask`` of ``TEXT TYPE[,TYPE]`` lines."""
+    """``tkn_text, type_mask`` of ``TEXT TYPE[,TYPE]`` lines. An unknown type name is an error."""
     rows = spark.read.text(path).where("trim(value) <> ''").select(F.split(F.trim("value"), r"\s+").alias("p"))
+    unknown = F.filter(F.split(F.col("p")[1], r"[,|]"), lambda name: ~name.isin(*T.NUMBER))
+    checked = F.when(F.size(unknown) > 0, F.raise_error(F.concat(F.lit("unknown token type: "), F.get(unknown, F.lit(0))))).otherwise(F.col("p")[0])
     bit = F.lit(0).cast("long")
     for name, number in T.NUMBER.items():
         bit = bit.bitwiseOR(F.when(F.array_contains(F.split(F.col("p")[1], r"[,|]"), name), F.lit(1 << (number - 1))).otherwise(F.lit(0)).cast("long"))
-    return rows.select(F.col("p")[0].alias("tkn_text"), bit.alias("type_mask")).groupBy("tkn_text").agg(F.bit_or("type_mask").alias("type_mask"))
+    return rows.select(checked.cast("string").alias("tkn_text"), bit.alias("type_mask")).groupBy("tkn_text").agg(F.bit_or("type_mask").alias("type_mask"))
 
 
 def last_of_alias(dictionary: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@ import socket
 import threading
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from patternloom.plans.store import Store, union
@@ -129,6 +130,9 @@ def test_sources(spark, tmp_path):
     assert rows(lines.last_of_alias(words)) == [(7, "beta")]
     (tmp_path / "types").write_text("a WORD,HOSTNAME\na TEXT\n")
     assert rows(lines.read_typed_tokens(spark, f"{tmp_path}/types")) == [("a", (1 << 16) | (1 << 4) | (1 << 19))]
+    (tmp_path / "odd_types").write_text("a WORD,NOTYPE\n")
+    with pytest.raises(Exception, match="unknown token type: NOTYPE"):
+        lines.read_typed_tokens(spark, f"{tmp_path}/odd_types").collect()
     (tmp_path / "tags").write_text("256 kind odd one\nnothing\n")
     assert rows(lines.read_tags(spark, f"{tmp_path}/tags")) == [(256, "kind", "odd one")]
     (tmp_path / "m.csv").write_text("sec,usec,x,comp,y,load,temp\n5,0,0,3,0,1.5,20\n")
