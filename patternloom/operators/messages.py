@@ -47,6 +47,12 @@ def page(rows: DataFrame, order: list[str], size: int, after: dict | None = None
     return rows.orderBy(*order).limit(size)
 
 
+def page_up(rows: DataFrame, order: list[str], size: int, before: dict) -> DataFrame:
+    """The ``size`` rows that come last before the key of the first one seen, in ascending order."""
+    rows = rows.where(F.struct(*order) < F.struct(*(F.lit(before[f]).alias(f) for f in order)))
+    return rows.orderBy(*(F.col(f).desc() for f in order)).limit(size).orderBy(*order)
+
+
 def limited(messages: DataFrame, n: int, order: list[str] | None = None) -> DataFrame:
     """The first ``n`` messages by time, host and text."""
     return messages.orderBy(*(order or ["epoch_us", "host", "body"])).limit(n)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import types as T
+from ..functions import lexer
 from ..functions import text as X
 
 
@@ -45,12 +46,18 @@ def running(rows: DataFrame, order: list[str], weight: str) -> DataFrame:
     return ranged.withColumn("_sum", within).join(F.broadcast(table), "_part").withColumn("end", F.col("_offset") + F.col("_sum")).withColumn("n", F.lit(total).cast("long")).drop("_part", "_sum", "_offset")
 
 
-def elements(messages: DataFrame, tokens: Column | None = None) -> DataFrame:
-    """``messages`` with argv, an array of (pos, text, parsed): the host, a space, and the tokens of the body."""
-    body = tokens if tokens is not None else X.simple_tokens(F.col("body"))
-    parsed = F.transform(body, lambda t, i: F.struct((i + 2).cast("int").alias("pos"), t.alias("text"), X.parsed_type(t).cast("int").alias("parsed")))
+def elements(messages: DataFrame, grammar: str | None = None) -> DataFrame:
+    """``messages`` with argv, an array of (pos, text, parsed): the host, a space, and the tokens of the body.
+
+    They are the simple tokens or, with a grammar of the lexer, its typed ones.
+    """
+    if grammar is None:
+        parsed = F.transform(X.simple_tokens(F.col("body")), lambda t, i: F.struct((i + 2).cast("int").alias("pos"), t.alias("text"), X.parsed_type(t).cast("int").alias("parsed")))
+    else:
+        messages = messages.withColumn("_lexed", lexer.tokens(F.col("body"), grammar))
+        parsed = F.transform("_lexed", lambda t, i: F.struct((i + 2).cast("int").alias("pos"), t["text"].alias("text"), t["type"].alias("parsed")))
     head = F.array(F.struct(F.lit(0).alias("pos"), F.col("host").alias("text"), F.lit(T.HOSTNAME).alias("parsed")), F.struct(F.lit(1).alias("pos"), F.lit(" ").alias("text"), F.lit(T.WHITESPACE).alias("parsed")))
-    return messages.withColumn("argv", F.concat(head, parsed))
+    return messages.withColumn("argv", F.concat(head, parsed)).drop("_lexed")
 
 
 def token_dictionary(messages: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -75,13 +82,13 @@ def with_token_ids(dictionary: DataFrame) -> DataFrame:
     return hosts.unionByName(numbered(dictionary.where(~host), ["tkn_text"], max(T.FIRST_TOKEN_ID, last + 1), "tkn_id"))
 
 
-def typed(messages: DataFrame, words: Iterable[str] | None = None, dictionary: DataFrame | None = None) -> DataFrame:
-    """``messages`` with argv of (pos, text, type) and the pattern's text ``ptn``.
+def typed(messages: DataFrame, words: Iterable[str] | None = None, dictionary: DataFrame | None = None, grammar: str | None = None) -> DataFrame:
+    """``messages`` with argv of (pos, text, type) and the pattern's text ``ptn``; ``grammar`` as in ``elements``.
 
     ``words`` is a word list that is part of the query and needs no shuffle; ``dictionary`` (tkn_text, type_mask)
     of any size is joined by token instead, its distinct texts only once per message.
     """
-    rows = elements(messages)
+    rows = elements(messages, grammar)
     if dictionary is None:
         known = [*(words or [])]
         kind = lambda e: F.when(e["parsed"] == T.HOSTNAME, T.HOSTNAME).when(e["text"].isin(known), T.WORD).otherwise(e["parsed"])
@@ -139,9 +146,9 @@ def english_ratio(ptn: Column) -> Column:
 
 
 def order_of(name: str) -> list[Column]:
-    """Sort columns by name: a field, with ``_asc`` or ``_desc``; the pattern's text breaks ties."""
+    """Sort columns by name: a field, with ``_asc`` or ``_desc`` (``eng`` is short for ``eng_ratio``); the pattern's text breaks ties."""
     field, _, way = name.rpartition("_") if name.endswith(("_asc", "_desc")) else (name, "", "")
-    field = field.lower()
+    field = {"eng": "eng_ratio"}.get(field.lower(), field.lower())
     if field not in ("ptn_id", "first_seen", "last_seen", "tkn_count", "msg_count", "eng_ratio"):
         raise ValueError(f"unknown pattern order: {name}")
     column = F.col(field)

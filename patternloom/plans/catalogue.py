@@ -10,9 +10,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import types as T
+from ..functions import lexer, times
 from ..functions import text as X
 from ..functions.distance import levenshtein_ids
 from ..operators import arrays, association, attributes, clusters, federation, histograms, messages, numeric, patterns
+from ..sources import lines
 
 WORDS = ["click", "view", "purchase", "signup", "error", "value", "k"]
 #: Before "value" is known as a word.
@@ -444,6 +447,177 @@ def id_distance(spark, sf_dir):
     return part.join(after, "p_partkey").select("p_partkey", levenshtein_ids("ids", "next").alias("distance"))
 
 
+# log lines made of the events: three headers, and a body whose tokens have many types
+_CLASSES = [
+    (T.NUMBER["IP4_ADDR"], r"\d{1,3}(?:\.\d{1,3}){3}"),
+    (T.NUMBER["FLOAT"], r"[0-9]+\.[0-9]*"),
+    (T.NUMBER["HEX_INT"], r"0x[0-9a-f]+"),
+    (T.NUMBER["TEXT"], r"[A-Za-z_][A-Za-z0-9\-_.]*[A-Za-z0-9\-_]|[A-Za-z]"),
+    (T.NUMBER["DEC_INT"], r"[0-9]+"),
+    (T.NUMBER["PATH"], r"(?:/[A-Za-z0-9_\-~.]+)+"),
+    (T.NUMBER["WHITESPACE"], r"\s+"),
+    (T.NUMBER["SEPARATOR"], r"."),
+]
+_LEXED = f"regexp_extract_all(body, '({'|'.join(c for _, c in _CLASSES)})', 1)"
+_TYPE = "CASE " + " ".join(f"WHEN regexp_full_match(t, '{c}') THEN {n}" for n, c in _CLASSES) + " END"
+LINES = f"""{VIEWS}, lin AS (SELECT event_id, event_type AS kind, ts, 'node' || user_id AS host,
+  event_type || ' from 10.0.' || user_id % 256 || '.7 at /var/log/u' || user_id || ' took ' || CAST(floor(value) AS BIGINT) || '.5 of 0x' || lower(hex(user_id)) || ' ' || props AS body FROM events)"""
+
+
+def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``event_id, host, body, line``: clicks with an ISO time, views with a local one, the rest with a short one."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    ts, user = F.col("ts").cast("timestamp_ntz"), F.col("user_id").cast("string")
+    number = F.floor("value").cast("long").cast("string")
+    body = F.concat("event_type", F.lit(" from 10.0."), (F.col("user_id") % 256).cast("string"), F.lit(".7 at /var/log/u"), user, F.lit(" took "), number, F.lit(".5 of 0x"), F.lower(F.hex("user_id")), F.lit(" "), "props")
+    host = F.concat(F.lit("node"), user)
+    time = F.when(F.col("event_type") == "click", F.concat(F.lit("1 "), F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))).when(F.col("event_type") == "view", F.date_format(ts, "yyyy-MM-dd HH:mm:ss")).otherwise(F.date_format(ts, "MMM d HH:mm:ss"))
+    return events.select("event_id", host.alias("host"), body.alias("body"), F.concat(F.lit("<1>"), time, F.lit(" "), host, F.lit(" "), body).alias("line"))
+
+
+@query(f"""WITH {LINES} SELECT event_id, CASE kind WHEN 'click' THEN epoch_us(ts) ELSE epoch_us(date_trunc('second', ts)) END AS epoch_us, host, body,
+  CASE kind WHEN 'click' THEN 'versioned' ELSE 'priority' END AS format FROM lin""")
+def parse_headers(spark, sf_dir):
+    rows = event_lines(spark, sf_dir).select("event_id", lexer.header(F.col("line")).alias("h"))
+    return rows.select("event_id", lexer.epoch_us(F.col("h.ts"), 2024).alias("epoch_us"), "h.host", "h.body", "h.format")
+
+
+@query(f"WITH {LINES} SELECT {_TYPE} AS type, count(*) AS tkn_count, count(DISTINCT t) AS n_tokens FROM (SELECT unnest({_LEXED}) AS t FROM lin) GROUP BY 1")
+def lex_syslog(spark, sf_dir):
+    tokens = event_lines(spark, sf_dir).select(F.explode(lexer.tokens(F.col("body"))).alias("t")).groupBy("t.text", "t.type").agg(F.count("*").alias("n"))
+    return tokens.groupBy("type").agg(F.sum("n").alias("tkn_count"), F.count("*").alias("n_tokens"))
+
+
+_SHOWN = " ".join(f"WHEN {n} THEN {x}" for n, x in [(8, "'<ip4>'"), (13, "'<float>'"), (11, "'<hex>'"), (12, "'<dec>'"), (15, "'<path>'"), (19, "' '"), (18, "t")])
+
+
+@query(f"""WITH {LINES} SELECT ptn, count(*) AS msg_count FROM (SELECT '<host> ' || array_to_string(list_transform({_LEXED},
+  lambda t: CASE WHEN t IN ({_quoted(WORDS)}) THEN t ELSE CASE {_TYPE} {_SHOWN} ELSE '*' END END), '') AS ptn FROM lin) GROUP BY ptn""")
+def typed_patterns(spark, sf_dir):
+    return patterns.typed(event_lines(spark, sf_dir), WORDS, grammar="syslog").groupBy("ptn").agg(F.count("*").alias("msg_count"))
+
+
+@query("SELECT event_id, epoch_us(ts) - 19800000000 AS epoch_us, strftime(ts + INTERVAL 330 MINUTE, '%Y-%m-%dT%H:%M:%S.%f') || '+05:30' AS text, epoch_us(ts) // 60000000 * 60 - 19800 AS minute, epoch_us(ts) // 1000000 AS loose FROM events")
+def time_arguments(spark, sf_dir):
+    rows = events_as_messages(spark, sf_dir).select("event_id", "epoch_us", times.format_time(F.col("epoch_us"), "Asia/Kolkata").alias("text"))
+    plain = times.format_time(F.col("epoch_us"))
+    parsed = times.parse_time(F.substring(plain, 1, 26), "Asia/Kolkata")
+    minute = F.replace(F.replace(F.substring(plain, 1, 16), F.lit("-"), F.lit("/")), F.lit("T"), F.lit(" "))
+    loose = times.parse_loose(F.replace(F.substring(plain, 1, 19), F.lit("T"), F.lit(" ")))
+    return rows.select("event_id", parsed.alias("epoch_us"), "text", times.parse_date(minute, "Asia/Kolkata").alias("minute"), loose.alias("loose"))
+
+
+@query("SELECT p_partkey, p_name AS name, p_brand AS brand FROM part")
+def query_string(spark, sf_dir):
+    text = F.concat(F.lit("name="), F.replace("p_name", F.lit(" "), F.lit("%20")), F.lit("&brand="), F.url_encode("p_brand"))
+    fields = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", times.query_fields(text).alias("f"))
+    return fields.select("p_partkey", F.col("f.value")[0].alias("name"), F.col("f.value")[1].alias("brand"))
+
+
+@query(f"SELECT event_id, epoch_us, host FROM msg WHERE ptn = '{PTN}' ORDER BY ptn, epoch_us, host, event_id LIMIT 20")
+def msg_order(spark, sf_dir):
+    rows = messages.message_filter(with_pattern(spark, sf_dir), ptn=PTN)
+    return messages.limited(rows, 20, messages.message_order(ptn=PTN) + ["event_id"]).select("event_id", "epoch_us", "host")
+
+
+@query(f"SELECT event_id, epoch_us, host FROM msg WHERE (epoch_us, host, event_id) < ({T1}000000, 'user3', 0) ORDER BY epoch_us DESC, host DESC, event_id DESC LIMIT 50")
+def msg_page_up(spark, sf_dir):
+    order = ["epoch_us", "host", "event_id"]
+    return messages.page_up(events_as_messages(spark, sf_dir).select(*order), order, 50, {"epoch_us": T1 * 10**6, "host": "user3", "event_id": 0})
+
+
+@query("SELECT ptn, msg_count, first_seen FROM ptns WHERE first_seen BETWEEN 1704067210000000 AND 1704153600000000")
+def ptn_filter_time(spark, sf_dir):
+    return messages.pattern_filter(pattern_summary(spark, sf_dir), 1704067210000000, 1704153600000000).select("ptn", "msg_count", "first_seen")
+
+
+@query("SELECT ptn, msg_count FROM (SELECT *, len(list_filter(regexp_extract_all(ptn, '(<[a-z0-9]+>|\\w+|.)', 1), lambda t: regexp_full_match(t, '\\w+')))::DOUBLE / len(regexp_extract_all(ptn, '(<[a-z0-9]+>|\\w+|.)', 1)) AS r FROM ptns) ORDER BY r, ptn LIMIT 3")
+def pattern_order_eng_asc(spark, sf_dir):
+    ptns = pattern_summary(spark, sf_dir).withColumn("eng_ratio", patterns.english_ratio(F.col("ptn")))
+    return ptns.orderBy(*patterns.order_of("eng_asc")).limit(3).select("ptn", "msg_count")
+
+
+@query(f"SELECT epoch, tkn_count FROM (SELECT epoch_us // 1000000 // 3600 * 3600 AS epoch, count(*) AS tkn_count FROM elem WHERE tkn_text = 'error' GROUP BY ALL) WHERE epoch BETWEEN {T0} AND {T1}")
+def tkn_hist_filter(spark, sf_dir):
+    hist = histograms.token_hist(typed_events(spark, sf_dir))
+    return histograms.hist_filter(hist, 3600, T0, T1, tkn_text="error").select("epoch", "tkn_count")
+
+
+@query(f"SELECT epoch, CAST(sum(msg_count) AS BIGINT) AS msg_count FROM comp WHERE bin_width = 60 AND ptn = '{PTN}' AND epoch BETWEEN {T0} AND {T1} GROUP BY epoch")
+def ptn_hist_filter(spark, sf_dir):
+    hist = histograms.pattern_hist(with_pattern(spark, sf_dir))
+    return histograms.hist_filter(hist, 60, T0, T1, ptn=PTN).select("epoch", "msg_count")
+
+
+@query(f"SELECT * FROM comp WHERE (bin_width, epoch, host) >= (3600, {T0}, 'user7') ORDER BY bin_width, epoch, host, ptn, msg_count LIMIT 1")
+def hist_seek(spark, sf_dir):
+    return messages.seek(comp_hist(spark, sf_dir), {"bin_width": 3600, "epoch": T0, "host": "user7"})
+
+
+@query(f"SELECT ptn, CAST(sum(msg_count) AS BIGINT) AS msg_count FROM comp WHERE bin_width = 86400 AND epoch BETWEEN {T0} AND {T1} GROUP BY ptn")
+def hist_auto_bin(spark, sf_dir):
+    hist = histograms.pattern_hist(with_pattern(spark, sf_dir), total=False)
+    return histograms.hist_filter(hist, X.auto_bin_width(T1 - T0), T0, T1).groupBy("ptn").agg(F.sum("msg_count").alias("msg_count"))
+
+
+@query("SELECT * FROM tags WHERE attr_type = 'kind' AND attr_value = 'even'")
+def tag_filter(spark, sf_dir):
+    return attributes.tag_filter(tag_table(spark, TAGS), attr_type="kind", attr_value="even")
+
+
+@query("SELECT * FROM tags WHERE (attr_type, attr_value) <= ('kind', 'odd') ORDER BY attr_type DESC, attr_value DESC, ptn_id DESC LIMIT 1")
+def tag_seek(spark, sf_dir):
+    return messages.seek(tag_table(spark, TAGS), {"attr_type": "kind", "attr_value": "odd"}, forward=False)
+
+
+@query("WITH r AS (SELECT unnest(range(256, 261)) AS ptn_id UNION ALL SELECT unnest(range(300, 303))) SELECT ptn_id, 'kind' AS attr_type, 'ranged' AS attr_value FROM r")
+def tag_id_ranges(spark, sf_dir):
+    return attributes.tag_ids(tag_table(spark, TAGS), X.parse_id_set("256-258,258-260,300-302"), "kind", "ranged")
+
+
+@query("SELECT tkn_text, count(*) AS tkn_count FROM elem WHERE tkn_text = 'error' GROUP BY tkn_text")
+def tkn_find(spark, sf_dir):
+    return token_dictionary(spark, sf_dir).where("tkn_text = 'error'").select("tkn_text", "tkn_count")
+
+
+def _parts_as_dictionary(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col(text).alias("tkn_text"), F.col("p_size").cast("long").alias("tkn_id"), F.col("p_partkey").alias("seq"))
+
+
+@query("SELECT CAST(p_size AS BIGINT) AS tkn_id, arg_max(p_name, p_partkey) AS tkn_text FROM part GROUP BY p_size")
+def tkn_alias(spark, sf_dir):
+    return lines.last_of_alias(_parts_as_dictionary(spark, sf_dir, "p_name"))
+
+
+@query("SELECT p_brand AS tkn_text, count(DISTINCT p_size) AS n FROM part GROUP BY p_brand HAVING n > 1")
+def tkn_id_conflicts(spark, sf_dir):
+    return lines.conflicting_ids(_parts_as_dictionary(spark, sf_dir, "p_brand"))
+
+
+@query(f"""WITH {VIEWS}, d AS ({SQL["token_dictionary"].split(VIEWS, 1)[1]}) SELECT CAST(log2(type_mask & -type_mask) AS INTEGER) + 1 AS type, count(*) AS n_tokens FROM d GROUP BY 1""")
+def tkn_first_types(spark, sf_dir):
+    return token_dictionary(spark, sf_dir).groupBy(X.first_type(F.col("type_mask")).alias("type")).agg(F.count("*").alias("n_tokens"))
+
+
+@query(r"""SELECT doc_id, array_to_string(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda p: CASE WHEN p > '20' AND p < '7F' THEN chr(CAST('0x' || p AS INTEGER)) ELSE '\x' || p END), '') AS text FROM documents""")
+def escape_bytes(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", X.escaped(F.col("text")).alias("text"))
+
+
+@query("SELECT n_name || ' is in ' || n_regionkey AS text FROM nation")
+def row_format(spark, sf_dir):
+    return lines.formatted(spark.read.parquet(f"{sf_dir}/nation.parquet"), "%(n_name)s is in %(n_regionkey)s")
+
+
+@query("""SELECT a.id AS local_id, b.id AS tkn_id FROM (SELECT host, 255 + row_number() OVER (ORDER BY host) AS id FROM (SELECT DISTINCT host FROM msg WHERE user_id % 4 = 0)) a
+  JOIN (SELECT host, 255 + row_number() OVER (ORDER BY host) AS id FROM (SELECT DISTINCT host FROM msg)) b USING (host)""")
+def store_id_map(spark, sf_dir):
+    rows = events_as_messages(spark, sf_dir)
+    hosts = lambda r: patterns.with_token_ids(patterns.token_dictionary(r)).where(X.has_mask(F.col("type_mask"), "HOSTNAME"))
+    return federation.id_map(hosts(_stores(rows)[0]), hosts(rows))
+
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -10,9 +10,12 @@ from ..functions import lexer
 from ..functions import text as X
 
 
-def read_lines(spark: SparkSession, path: str, max_len: int = 0, stream: bool = False) -> DataFrame:
-    """``line``; longer ones are cut at ``max_len`` characters (0: never)."""
-    rows = (spark.readStream if stream else spark.read).text(path)
+def read_lines(spark: SparkSession, path: str, max_len: int = 0, stream: bool = False, max_files: int = 0) -> DataFrame:
+    """``line``; longer ones are cut at ``max_len`` characters (0: never). A stream takes at most ``max_files`` files a batch (0: any number)."""
+    reader = spark.readStream if stream else spark.read
+    if stream and max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    rows = reader.text(path)
     value = F.col("value") if not max_len else F.substring("value", 1, max_len)
     return rows.select(value.alias("line"))
 
@@ -46,11 +49,21 @@ def parsed(lines: DataFrame, default_host: str | Column = "localhost", year: int
 def read_dictionary(spark: SparkSession, path: str, types: str) -> DataFrame:
     """``tkn_text, tkn_id, type_mask, seq`` of a file of ``TEXT [ID]`` lines; ``#`` begins a comment, over-long texts are left out.
 
-    One id for several texts makes them aliases; ``last_of_alias`` tells which one shows.
+    One id for several texts makes them aliases; ``last_of_alias`` tells which one shows. A file of type TYPE with ids
+    defines types: each such token has the bit of its id too (see ``user_types``).
     """
     rows = spark.read.text(path).select(F.regexp_replace("value", r"\s*#.*$", "").alias("v"), F.monotonically_increasing_id().alias("seq")).where("trim(v) <> ''")
     parts = F.split(F.trim("v"), r"\s+")
-    return rows.select(F.get(parts, F.lit(0)).alias("tkn_text"), F.get(parts, F.lit(1)).cast("long").alias("tkn_id"), F.lit(T.parse_types(types)).cast("long").alias("type_mask"), "seq").where("length(tkn_text) <= 1023")
+    number, mask = F.get(parts, F.lit(1)).cast("long"), F.lit(T.parse_types(types)).cast("long")
+    if types == "TYPE":
+        mask = mask.bitwiseOR(F.when(number.between(1, 63), F.call_function("shiftleft", F.lit(1).cast("long"), (number - 1).cast("int"))).otherwise(F.lit(0).cast("long")))
+    return rows.select(F.get(parts, F.lit(0)).alias("tkn_text"), number.alias("tkn_id"), mask.alias("type_mask"), "seq").where("length(tkn_text) <= 1023")
+
+
+def user_types(dictionary: DataFrame) -> DataFrame:
+    """``type_name, type_id`` of the tokens that define a type: ``NAME`` or ``_NAME_``, numbered by its id without the bit 0x80."""
+    known = dictionary.where(X.has_mask(F.col("type_mask"), "TYPE") & F.col("tkn_id").isNotNull())
+    return known.select(F.regexp_replace("tkn_text", "^_(.+)_$", "$1").alias("type_name"), F.col("tkn_id").bitwiseAND(F.lit(~0x80).cast("long")).alias("type_id")).distinct()
 
 
 def read_typed_tokens(spark: SparkSession, path: str) -> DataFrame:

@@ -4,7 +4,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from patternloom import types as T
-from patternloom.functions import distance, lexer
+from patternloom.functions import distance, lexer, times
 from patternloom.functions import text as X
 
 
@@ -119,3 +119,38 @@ def test_distance_udfs(spark):
     df = spark.createDataFrame([([1, 2, 3], [1, 3]), ([], [4])], "a array<long>, b array<long>")
     got = df.select(distance.levenshtein_ids("a", "b"), distance.lcs_length("a", "b"), distance.lcs_distance(F.col("a"), F.col("b"))).collect()
     assert [tuple(r) for r in got] == [(1, 2, 1), (1, 0, 1)]
+
+
+@pytest.mark.parametrize("session_zone", ["UTC", "America/New_York"])
+def test_times(spark, session_zone):
+    was = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", session_zone)
+    try:
+        texts = ["2016-12-31T01:02:03.456789-06:00", "2016-12-31 01:02:03", "2016-12-31 01:02:03.5", "2016-13-01 00:00:00", "x", "", None]
+        df = spark.createDataFrame([(x,) for x in texts], "t string")
+        assert [r[0] for r in df.select(times.parse_time(F.col("t"), "America/Chicago")).collect()] == [1483167723456789, 1483167723000000, 1483167723000000, None, None, None, None]
+        numbers = spark.createDataFrame([(1483167723456789,), (1467331200000000,), (-1,), (None,)], "us long")
+        shown = numbers.select(times.format_time(F.col("us"), "America/Chicago"), times.format_time(F.col("us"))).collect()
+        assert [r[0] for r in shown] == ["2016-12-31T01:02:03.456789-06:00", "2016-06-30T19:00:00.000000-05:00", "1969-12-31T17:59:59.999999-06:00", None]
+        assert shown[2][1] == "1969-12-31T23:59:59.999999+00:00"
+        loose = spark.createDataFrame([(x,) for x in ["2016-12-31 01:02:03", "100", "0x10", "010", "-5", "0", "09", "1e3", "", None]], "t string")
+        assert [r[0] for r in loose.select(times.parse_loose(F.col("t"))).collect()] == [1483146123, 100, 16, 8, -5, 0, -1, -1, -1, None]
+        dates = spark.createDataFrame([("2016/12/31 01:02",), ("2016-12-31 01:02",)], "t string")
+        assert [r[0] for r in dates.select(times.parse_date(F.col("t"))).collect()] == [1483146120, None]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", was)
+
+
+def test_query_fields(spark):
+    df = spark.createDataFrame([("a=1&b=x%20y+z&&c&d=%zz&a=2=3",), ("",), (None,)], "t string")
+    got = [r[0] and [tuple(f) for f in r[0]] for r in df.select(times.query_fields(F.col("t"))).collect()]
+    assert got == [[("a", "1"), ("b", "x y z"), ("c", None), ("d", None), ("a", "2=3")], [], None]
+
+
+def test_user_types(spark, tmp_path):
+    from patternloom.sources import lines
+
+    (tmp_path / "types.txt").write_text("_RACK_ 40\nCAGE 41\nPLAIN\n")
+    d = lines.read_dictionary(spark, str(tmp_path / "types.txt"), "TYPE")
+    assert {r["tkn_text"]: r["type_mask"] for r in d.collect()} == {"_RACK_": 1 | 1 << 39, "CAGE": 1 | 1 << 40, "PLAIN": 1}
+    assert {tuple(r) for r in lines.user_types(d).collect()} == {("RACK", 40), ("CAGE", 41)}
