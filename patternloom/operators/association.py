@@ -7,25 +7,15 @@ Only rules and the candidates' supports, never cells, reach the driver.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .settling import settled
+
 #: Sets of a smaller support are dropped.
 LEAST_SUPPORT = 1e-6
 
 
-def _settled(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))  # one machine: a temporary folder serves
-    return df.checkpoint()
-
-
 def mine(cells: DataFrame, lhs: list[str], rhs: list[str], conf: float = 0.75, sig: float = 0.1, diff: float = 0.1, max_depth: int = 32) -> DataFrame:
     """``lhs`` (names joined by commas), ``rhs, depth, conf, sig``.
 
@@ -37,14 +27,14 @@ def mine(cells: DataFrame, lhs: list[str], rhs: list[str], conf: float = 0.75, s
     spark = cells.sparkSession
     items = cells.where(F.col("name").isin(lhs)).groupBy("name", "x", "y").agg(F.sum("cnt").alias("cnt"))
     place = spark.createDataFrame([(n, i) for i, n in enumerate(lhs)], "name string, item int")
-    items = _settled(items.join(F.broadcast(place), "name").select("item", "x", "y", "cnt"))
+    items = settled(items.join(F.broadcast(place), "name").select("item", "x", "y", "cnt"))
     targets = cells.where(F.col("name").isin(rhs)).groupBy("name", "x", "y").agg(F.sum("cnt").alias("b")).withColumnRenamed("name", "rhs")
-    targets = _settled(targets)
+    targets = settled(targets)
     base = targets.groupBy("rhs").agg(F.sum("b").alias("supp_b"))
     one = items.select(F.array("item").alias("set"), "x", "y", "cnt")
     rules, level, before = [], one, None
     for depth in range(1, max_depth + 1):
-        level = _settled(level)
+        level = settled(level)
         supp_a = level.groupBy("set").agg(F.sum("cnt").alias("supp")).where(F.col("supp") >= LEAST_SUPPORT)
         both = level.join(targets, ["x", "y"]).groupBy("set", "rhs").agg(F.sum(F.least("cnt", "b")).alias("supp_ab"))
         rows = both.join(supp_a, "set").join(F.broadcast(base), "rhs").select("set", "rhs", "supp", (F.col("supp_ab") / F.col("supp")).alias("conf"), (F.col("supp_ab") / F.col("supp_b")).alias("sig"))
@@ -52,12 +42,12 @@ def mine(cells: DataFrame, lhs: list[str], rhs: list[str], conf: float = 0.75, s
         if before is not None:  # the set without its last item, still a candidate of the same right side
             prefix = before.select(F.col("set").alias("part"), "rhs", F.col("supp").alias("supp_part"))
             rows = rows.withColumn("part", F.slice("set", 1, depth - 1)).join(prefix, ["part", "rhs"]).where((F.col("supp_part") - F.col("supp")) / F.col("supp_part") >= diff).drop("part", "supp_part")
-        rows = _settled(rows)
+        rows = settled(rows)
         new = rows.where(F.col("conf") >= conf)
         for old in rules:
             shorter = old.select(F.col("set").alias("less"), F.col("rhs").alias("less_rhs"))
             new = new.join(shorter, (F.col("rhs") == F.col("less_rhs")) & (F.size(F.array_except("less", "set")) == 0), "left_anti")
-        new = _settled(new.withColumn("depth", F.lit(depth)))
+        new = settled(new.withColumn("depth", F.lit(depth)))
         rules.append(new)
         before = rows.where(F.col("conf") < conf)
         if before.isEmpty():

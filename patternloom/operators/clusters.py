@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.distance import common_places, edit_distance, levenshtein_ids
-from .association import _settled
+from .settling import settled
 
 _PART = r"(<[a-z0-9]+>|\w+|.)"
 
@@ -25,13 +25,13 @@ def _parts(ptn):
 
 def _labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``node, label``: the least node that edges reach, by propagation with jumps over labels."""
-    both = _settled(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    now = _settled(nodes.select("node", F.col("node").alias("label")))
+    both = settled(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    now = settled(nodes.select("node", F.col("node").alias("label")))
     while True:
         near = both.join(now, both["a"] == now["node"]).groupBy("b").agg(F.min("label").alias("near"))
         next_ = now.join(near, now["node"] == near["b"], "left").select("node", F.least("label", F.coalesce("near", "label")).alias("label"))
         up = next_.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        next_ = _settled(next_.join(up, "label").select("node", F.col("up").alias("label")))
+        next_ = settled(next_.join(up, "label").select("node", F.col("up").alias("label")))
         if next_.join(now.withColumnRenamed("label", "was"), "node").where("label <> was").isEmpty():
             return next_
         now = next_
@@ -81,12 +81,12 @@ def meta_clusters(ptns: DataFrame, diff_ratio: float = 0.30, refinement_speed: f
     patterns, of which a site has thousands, not messages. An empty input gives no rows.
     """
     parts = _parts(F.col("ptn"))
-    rows = _settled(ptns.select("ptn", parts.alias("parts"), F.filter(parts, lambda t: t.rlike(r"^\w+$")).alias("words")).distinct())
-    groups = _settled(rows.groupBy("words").agg(F.min("ptn").alias("node")).withColumn("n", F.size("words")))
+    rows = settled(ptns.select("ptn", parts.alias("parts"), F.filter(parts, lambda t: t.rlike(r"^\w+$")).alias("words")).distinct())
+    groups = settled(rows.groupBy("words").agg(F.min("ptn").alias("node")).withColumn("n", F.size("words")))
     # the same token for the i-th time is an element of its own; of sequences nearer than the ratio, the
     # least few elements have one in common
     element = F.transform("words", lambda w, i: F.xxhash64(w, F.size(F.filter(F.slice("words", F.lit(1), i), lambda x: x == w))))
-    coded = _settled(groups.where("n > 0").select("node", "n", F.transform("words", lambda w: F.xxhash64(w)).alias("ids"), F.sort_array(element).alias("elements")))
+    coded = settled(groups.where("n > 0").select("node", "n", F.transform("words", lambda w: F.xxhash64(w)).alias("ids"), F.sort_array(element).alias("elements")))
     few = F.slice("elements", F.lit(1), F.floor(F.col("n") * min(diff_ratio, 1.0)).cast("int") + 1)
     keyed = coded.select("node", "n", F.explode(few).alias("element"))
     left, right = (keyed.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), "element") for x in ("a", "b"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .patterns import running
+from .patterns import joined_by, running
 
 
 def nth(values: DataFrame, column: str, k: int) -> DataFrame:
@@ -18,27 +18,22 @@ def profile(values: DataFrame, column: str, by: list[str] | None = None) -> Data
     """n, min, q1, median, q3, max, mad, mean, sse, sd, overall or per group.
 
     Quartiles are elements: those at (n-1)/4, (n-1)/2 and 3(n-1)/4, rounded down. mad is the median distance from the
-    median. Nulls are left out; a group without values has none.
+    median. Nulls are left out; a group without values has none; a null key is a group of its own.
     """
     keys = by or []
     rows = values.where(F.col(column).isNotNull()).select(*keys, F.col(column).cast("double").alias("v"))
 
     def picked(table: DataFrame, value: str, places: dict[str, tuple[int, int]]) -> DataFrame:
-        """Elements by rank from the counts of distinct values, summed up in order within each group."""
-        counts = table.groupBy(*keys, value).agg(F.count("*").alias("c"))
-        if keys:
-            upto = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-            ranked = counts.withColumn("end", F.sum("c").over(upto)).withColumn("n", F.sum("c").over(Window.partitionBy(*keys)))
-        else:
-            ranked = running(counts, [value], "c")
+        """Elements by rank from the counts of distinct values, which ``running`` sums up by ranges, in groups too."""
+        ranked = running(table.groupBy(*keys, value).agg(F.count("*").alias("c")), [value], "c", keys)
         at = lambda num, den: F.floor((F.col("n") - 1) * num / den)
         hit = lambda p: (F.col("end") > at(*p)) & (F.col("end") - F.col("c") <= at(*p))
         return ranked.groupBy(*keys).agg(*(F.max(F.when(hit(p), F.col(value))).alias(name) for name, p in places.items()))
 
     quartiles = picked(rows, "v", {"q1": (1, 4), "median": (1, 2), "q3": (3, 4)})
     basic = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("mean"), (F.var_pop("v") * F.count("*")).alias("sse"), F.stddev_samp("v").alias("sd"))
-    together = basic.join(quartiles, keys) if keys else basic.crossJoin(quartiles)
+    together = joined_by(basic, quartiles, keys) if keys else basic.crossJoin(quartiles)
     middle = together.select(*keys, "median")
-    away = (rows.join(F.broadcast(middle), keys) if keys else rows.crossJoin(F.broadcast(middle))).withColumn("d", F.abs(F.col("v") - F.col("median")))
+    away = (joined_by(rows, middle, keys) if keys else rows.crossJoin(F.broadcast(middle))).withColumn("d", F.abs(F.col("v") - F.col("median")))
     mad = picked(away, "d", {"mad": (1, 2)})
-    return together.join(mad, keys) if keys else together.crossJoin(mad)
+    return joined_by(together, mad, keys) if keys else together.crossJoin(mad)

@@ -15,14 +15,16 @@ from pyspark.sql import functions as F
 from .. import types as T
 from ..functions import lexer
 from ..functions import text as X
+from .settling import settled
 
 
 def numbered(rows: DataFrame, order: list[str], start: int, name: str) -> DataFrame:
     """``rows`` with dense numbers from ``start`` in the order of the given columns, which tell rows apart.
 
-    Rows are dealt by range and numbered within; only the sizes of the ranges reach the driver.
+    Rows are dealt by range, kept in the shared checkpoint folder, so that a lost executor renumbers none, and numbered
+    within; only the sizes of the ranges reach the driver.
     """
-    ranged = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).persist()
+    ranged = settled(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     sizes = {r["_part"]: r["count"] for r in ranged.groupBy("_part").count().collect()}
     offsets, total = [], start
     for part in sorted(sizes):
@@ -33,17 +35,28 @@ def numbered(rows: DataFrame, order: list[str], start: int, name: str) -> DataFr
     return ranged.withColumn("_place", place).join(F.broadcast(table), "_part").withColumn(name, F.col("_offset") + F.col("_place")).drop("_part", "_place", "_offset")
 
 
-def running(rows: DataFrame, order: list[str], weight: str) -> DataFrame:
-    """``rows`` with end, the sum of ``weight`` up to and with a row in the given order, and n, the sum of all."""
-    ranged = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).persist()
-    sums = {r["_part"]: r["s"] for r in ranged.groupBy("_part").agg(F.sum(weight).alias("s")).collect()}
-    offsets, total = [], 0
-    for part in sorted(sums):
-        offsets.append((part, total))
-        total += sums[part]
-    table = rows.sparkSession.createDataFrame(offsets, "_part int, _offset long")
-    within = F.sum(weight).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return ranged.withColumn("_sum", within).join(F.broadcast(table), "_part").withColumn("end", F.col("_offset") + F.col("_sum")).withColumn("n", F.lit(total).cast("long")).drop("_part", "_sum", "_offset")
+def running(rows: DataFrame, order: list[str], weight: str, keys: list[str] | None = None) -> DataFrame:
+    """``rows`` with end, the sum of ``weight`` up to and with a row in the given order, and n, the sum of all.
+
+    With ``keys`` both are sums within a group, null keys being one. Rows are dealt by range of keys and order, so a
+    large group is spread over ranges; only the ranges' sums are added up in one place.
+    """
+    keys = keys or []
+    ranged = settled(rows.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
+    parts = ranged.groupBy(*keys, "_part").agg(F.sum(weight).alias("_weight"))
+    group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
+    before = F.sum("_weight").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_weight")
+    parts = parts.select(*keys, "_part", before.alias("_offset"), F.sum("_weight").over(group).alias("n"))
+    within = F.sum(weight).over(Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    joined = joined_by(ranged.withColumn("_sum", within), parts, [*keys, "_part"])
+    return joined.withColumn("end", F.col("_offset") + F.col("_sum")).drop("_part", "_sum", "_offset")
+
+
+def joined_by(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``left`` with the other columns of ``right``, joined by ``keys`` of which nulls are equal."""
+    other = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    return left.join(other, same, how).drop(*(f"_right_{k}" for k in keys))
 
 
 def elements(messages: DataFrame, grammar: str | None = None) -> DataFrame:
@@ -86,7 +99,7 @@ def typed(messages: DataFrame, words: Iterable[str] | None = None, dictionary: D
     """``messages`` with argv of (pos, text, type) and the pattern's text ``ptn``; ``grammar`` as in ``elements``.
 
     ``words`` is a word list that is part of the query and needs no shuffle; ``dictionary`` (tkn_text, type_mask)
-    of any size is joined by token instead, its distinct texts only once per message.
+    of any size is joined by token instead, element by element; adaptive skew joins split the rows of common tokens.
     """
     rows = elements(messages, grammar)
     if dictionary is None:

@@ -174,3 +174,18 @@ def test_numeric(spark):
     assert (r["n"], r["min"], r["q1"], r["median"], r["q3"], r["max"]) == (n, 1.0, have[(n - 1) // 4], have[(n - 1) // 2], have[3 * (n - 1) // 4], 9.0)
     assert r["mad"] == sorted(abs(v - have[3]) for v in have)[3]
     assert [numeric.nth(df, "v", k).first()[0] for k in range(3)] == have[:3]
+
+
+def test_numeric_by_group(spark):
+    """Groups of which one holds most rows, a null key, a group without values; the hot one lies in several ranges."""
+    data = [("hot", float(i % 997)) for i in range(6000)] + [(None, 3.0), (None, 1.0), ("few", 2.0), ("none", None)]
+    df = spark.createDataFrame(data, "k string, v double")
+    got = {r["k"]: r for r in numeric.profile(df, "v", ["k"]).collect()}
+    assert set(got) == {"hot", None, "few"}
+    for k, r in got.items():
+        have = sorted(v for key, v in data if key == k and v is not None)
+        n = len(have)
+        middle = have[(n - 1) // 2]
+        assert (r["n"], r["q1"], r["median"], r["q3"], r["mad"]) == (n, have[(n - 1) // 4], middle, have[3 * (n - 1) // 4], sorted(abs(v - middle) for v in have)[(n - 1) // 2])
+    ends = patterns.running(df.where("v is not null").groupBy("k", "v").count(), ["v"], "count", ["k"]).where("k = 'hot'").orderBy("v").collect()
+    assert [r["end"] for r in ends][-1] == 6000 and all(r["n"] == 6000 for r in ends)
