@@ -113,3 +113,14 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.95, seed: int = 11)
     out = rows.select("vec_id", F.when(F.col("v").isNotNull(), F.xxhash64("v")).alias("h"), F.when(F.col("v").isNotNull(), F.xxhash64(F.lit(1), "v")).alias("h2")).join(per_node, ["h", "h2"], "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+
+
+def sql(threshold: float = 0.95) -> str:
+    """The same rows as ``embedding_dedup`` in DuckDB's SQL, from the cosine of every pair."""
+    return f"""WITH RECURSIVE vectors AS MATERIALIZED (SELECT row_number() OVER () AS u, CAST(vec_id AS BIGINT) AS vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+sound AS MATERIALIZED (SELECT u, e FROM vectors WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+link AS MATERIALIZED (SELECT a.u AS a, b.u AS b FROM sound a JOIN sound b ON a.u <> b.u AND len(a.e) = len(b.e) WHERE CASE WHEN len(a.e) = len(b.e) THEN list_cosine_similarity(a.e, b.e) END >= {threshold}),
+reached AS (SELECT u, vec_id AS c FROM vectors UNION SELECT link.b, reached.c FROM reached JOIN link ON reached.u = link.a),
+component AS (SELECT u, min(c) AS component_id FROM reached GROUP BY u),
+links AS (SELECT a AS u, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, coalesce(vec_id = component_id, true) AS kept FROM vectors JOIN component USING (u) LEFT JOIN links USING (u)"""

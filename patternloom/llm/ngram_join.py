@@ -397,3 +397,17 @@ def _grouped(rows: DataFrame, n: int, percent: int) -> DataFrame:
     least = per_node.groupBy("label").agg(F.min("least_id").alias("component"))
     per_set = per_node.join(least, "label").select("x", "y", "label", F.col("component").alias("component_id"))
     return described.select("uid", "doc_id", "n_shingles", "x", "y").join(per_set, ["x", "y"], "left").select("uid", "doc_id", "n_shingles", "label", "component_id")
+
+
+def sql(n: int = 3, percent: int = 90) -> str:
+    """The same rows as ``ngram_jaccard_join`` in DuckDB's SQL, from all pairs of documents that share an n-gram."""
+    return f"""WITH RECURSIVE worded AS MATERIALIZED (
+  SELECT row_number() OVER () AS u, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS MATERIALIZED (SELECT u, doc_id, CASE WHEN len(w) >= {n} THEN list_distinct(list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i : i + {n - 1}], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS grams FROM worded),
+sized AS MATERIALIZED (SELECT u, doc_id, CAST(len(grams) AS BIGINT) AS n_shingles FROM sets),
+gram AS MATERIALIZED (SELECT u, unnest(grams) AS g FROM sets),
+shared AS (SELECT a.u AS a, b.u AS b, count(*) AS c FROM gram a JOIN gram b ON a.g = b.g AND a.u < b.u GROUP BY 1, 2),
+half AS (SELECT a, b FROM shared JOIN sized x ON x.u = a JOIN sized y ON y.u = b WHERE 100 * c >= {percent} * (x.n_shingles + y.n_shingles - c)),
+link AS MATERIALIZED (SELECT a, b FROM half UNION ALL SELECT b, a FROM half),
+reached AS (SELECT u, doc_id AS c FROM sized UNION SELECT link.b, reached.c FROM reached JOIN link ON reached.u = link.a)
+SELECT doc_id, n_shingles, component_id FROM sized JOIN (SELECT u, min(c) AS component_id FROM reached GROUP BY u) USING (u)"""

@@ -57,4 +57,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": line_dedup.sql("doc_id, source, text, n_lines, n_dropped"), "op5_url_filters": url_filter.sql(url_filter.RULES)}
+    return {
+        "op2_line_dedup": line_dedup.sql("doc_id, source, text, n_lines, n_dropped"),
+        "op4_embedding_near_dedup": embedding_dedup.sql(threshold=0.95),
+        "op5_url_filters": url_filter.sql(url_filter.RULES),
+        "op6_ngram_jaccard_join": ngram_join.sql(n=3, percent=90),
+    }

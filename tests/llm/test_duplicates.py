@@ -224,3 +224,29 @@ def test_line_dedup_equals_sql(spark):
         assert sorted(map(str, shuffled[0].collect())) == sorted(map(str, shuffled[1].collect()))
     finally:
         line_dedup.BROADCAST_LINES = kept
+
+
+def in_duckdb(sql, **tables):
+    """Rows of ``sql`` over tables given as Spark DataFrames."""
+    con = duckdb.connect()
+    for name, df in tables.items():
+        con.register(name, df.toArrow())
+    return sorted(con.execute(sql).fetchall(), key=str)
+
+
+def test_ngram_join_equals_sql(spark):
+    texts = [*corpus()[:90], "", None, " \n\t", "one", "ONE", "one two", "One  Two\n", "a b c", "A b\tc", "a b c", "é É x"]
+    docs = spark.createDataFrame([*enumerate(texts), (3, texts[3]), (None, texts[3])], "doc_id long, text string")
+    for n, percent in ((3, 90), (5, 80)):
+        got = ngram_join.ngram_jaccard_join(docs, n, percent / 100).collect()
+        assert sorted(map(tuple, got), key=str) == in_duckdb(ngram_join.sql(n, percent), documents=docs)
+
+
+def test_embeddings_equal_sql(spark):
+    r = np.random.default_rng(6)
+    x = np.repeat(r.normal(size=(10, 32)), 8, axis=0) + r.normal(size=(80, 32)) * r.uniform(0.05, 0.4, (80, 1))
+    odd = [(1000, None), (1001, []), (1002, [0.0] * 32), (1003, [float("nan")] + [1.0] * 31), (1005, [None] + [1.0] * 31), (1006, [1.0, 2.0]), (1007, [2.0, 4.0]), (3, x[3].tolist())]
+    df = spark.createDataFrame([*((i, v.tolist()) for i, v in enumerate(x)), *odd], "vec_id long, embedding array<float>")
+    want = in_duckdb(embedding_dedup.sql(), embeddings=df)
+    assert sorted(map(tuple, embedding_dedup.embedding_dedup(df).collect()), key=str) == want
+    assert sum(n for _, n, _, _ in want) > 100
